@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("exact_dedup", "sharding")
+_MODULES = ("packing", "exact_dedup", "sharding", "bpe")
 
 
 def queries() -> dict:
