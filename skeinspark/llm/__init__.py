@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("packing", "exact_dedup", "sharding", "bpe")
+_MODULES = ("packing", "exact_dedup", "quality", "sharding", "bpe", "language")
 
 
 def queries() -> dict:
