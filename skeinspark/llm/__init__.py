@@ -2,13 +2,40 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from functools import wraps
 from importlib import import_module
+from pathlib import Path
 
-_MODULES = ("packing", "exact_dedup", "quality", "sharding", "bpe", "language")
+_MODULES = ("jaccard_join", "packing", "exact_dedup", "quality", "sharding", "bpe", "language")
+
+
+def ship(spark) -> None:
+    """Give executors this package: once for each session, as a zip that Spark serves."""
+    context = spark.sparkContext
+    if getattr(context, "_skein_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp()) / "skeinspark_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(path))
+    context._skein_shipped = True
+
+
+def _shipped(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {k: v for m in _MODULES for k, v in import_module(f"{__name__}.{m}").QUERIES.items()}
+    return {k: _shipped(v) for m in _MODULES for k, v in import_module(f"{__name__}.{m}").QUERIES.items()}
 
 
 def oracle_sql() -> dict:

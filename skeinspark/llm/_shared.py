@@ -102,3 +102,23 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     total = np.cumsum(length)
     n = int(total[-1]) if len(total) else 0
     return np.arange(n) + np.repeat(start - (total - length), length)
+
+
+#: Keys with more than 1 / HOT_SHARE of the rows are joined by broadcast; there are at most HOT_SHARE of them.
+HOT_SHARE = 4096
+
+
+def join_by_key(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of rows to one fact row for each key, whose column ``count`` is the key's number of rows.
+
+    Facts of hot keys are broadcast, at most ``HOT_SHARE`` of them, so that a hot key's rows
+    stay where they are; only the others shuffle.
+    """
+    n = rows.count()
+    share = max(1000, n // HOT_SHARE)
+    hot = facts.filter(F.col(count) > share)
+    cold = facts.filter(F.col(count) <= share)
+    told = F.broadcast(hot.select(key, F.lit(True).alias("is_hot")))
+    near = rows.join(F.broadcast(hot), key)
+    rest = rows.join(told, key, "left_anti").join(cold, key)
+    return near.unionByName(rest)
