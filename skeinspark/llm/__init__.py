@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import zipfile
 from functools import wraps
 from importlib import import_module
 from pathlib import Path
 
-_MODULES = ("jaccard_join", "packing", "exact_dedup", "quality", "sharding", "bpe", "language")
+from . import _shared
+
+_MODULES = ("jaccard_join", "packing", "embedding_dedup", "exact_dedup", "quality", "sharding", "bpe", "language")
 
 
 def ship(spark) -> None:
-    """Give executors this package: once for each session, as a zip that Spark serves."""
+    """Give executors this package: once for each session, as a zip in the shared folder."""
     context = spark.sparkContext
     if getattr(context, "_skein_shipped", False):
         return
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp()) / "skeinspark_package.zip"
-    with zipfile.ZipFile(path, "w") as z:
+    top, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(top.rglob("*.py")):
             z.write(f, f.relative_to(top.parent))
-    context.addPyFile(str(path))
+    context.addPyFile(_shared.write_bytes(spark, f"{_shared.scratch(spark, 'package')}/skeinspark_package.zip", packed.getvalue()))
     context._skein_shipped = True
 
 

@@ -41,6 +41,15 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(data))
+    out.close()
+    return path
+
+
 def sweep() -> None:
     """Remove all scratch tables made so far. Only safe when no frame that reads them is still wanted."""
     for path, spark in list(_made.items()):
