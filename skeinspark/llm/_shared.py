@@ -58,6 +58,16 @@ def sweep() -> None:
         _made.pop(path, None)
 
 
+def made() -> list[str]:
+    return list(_made)
+
+
+def forget(path: str) -> None:
+    """Remove one scratch table, which no frame may still want."""
+    if spark := _made.pop(path, None):
+        delete(spark, path)
+
+
 atexit.register(sweep)
 
 
@@ -149,3 +159,21 @@ def bit_table(places: DataFrame) -> np.ndarray:
 def has_bits(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     at = at.astype(np.int64)
     return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def split_by_marks(rows: DataFrame, key: str, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose long ``key`` is surely not in ``marked`` (a frame with that one column), and the others.
+
+    The marks are broadcast as bitmaps of ``TABLE_BITS`` bits at most, so that only the others need a shuffle.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(TABLE_BITS))
+    maps = stage(marked.select(place.alias("__at")).groupBy(F.bitmap_bucket_number("__at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__at")).alias("__map")), "marks")
+    told = rows.withColumn("__bucket", F.bitmap_bucket_number(place)).withColumn("__bit", F.bitmap_bit_position(place)).join(F.broadcast(maps), "__bucket", "left")
+    hit = test_bit("__map", F.col("__bit"))
+    return told.filter(~hit).select(*rows.columns), told.filter(hit).select(*rows.columns)
+
+
+def test_bit(bitmap: str, position) -> F.Column:
+    """Whether a binary column has a bit set; a null bitmap has none."""
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.shiftright(position, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))

@@ -11,32 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import stage
+from ._shared import join_by_key, split_by_marks, stage, test_bit
 
 #: Bits of the broadcast filter at most: 8 MB. Beyond what these can tell apart more rows shuffle; results stay the same.
 FILTER_BITS = 1 << 26
-#: Groups with more than 1 / HOT_SHARE of the rows are joined by broadcast; there are at most HOT_SHARE of them.
-HOT_SHARE = 4096
 _PER_BITMAP = 8 * 4096
 
 
-def _test_bit(bitmap: str, position) -> F.Column:
-    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.shiftright(position, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
-
-
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical; null counts as empty. The largest id of a group stays.
-    Null ids lose to any other id and stay only where a group has no other. Repeated rows
-    of one id and text count each in ``group_size`` and share their fate. An empty table
-    gives no rows. Other columns of ``docs`` are not read.
-    """
+def _suspects(docs: DataFrame, doc_id: str, text: str, filter_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Digests of all rows with whether they may repeat, and the groups of those that may."""
     value = F.coalesce(F.col(text), F.lit(""))
     rows = stage(docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(value, 256)).alias("digest"), F.xxhash64(value).alias("hash")), "digests")
-    n = rows.count()
-    cells = 1 << max(10, (4 * n - 1).bit_length())
+    cells = 1 << max(10, (4 * rows.count() - 1).bit_length())
     bits = min(filter_bits, max(_PER_BITMAP, cells))
     cell = F.col("hash").bitwiseAND(F.lit(cells - 1))
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(hash, 58) as int))")
@@ -47,27 +33,48 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fi
         .select(F.col("cell").bitwiseAND(F.lit(bits - 1)).alias("at"))
     )
     seen = suspect.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
-    at = cell.bitwiseAND(F.lit(bits - 1))
     told = stage(
-        rows.withColumn("at", at)
+        rows.withColumn("at", cell.bitwiseAND(F.lit(bits - 1)))
         .withColumn("bucket", F.bitmap_bucket_number("at"))
         .join(F.broadcast(seen), "bucket", "left")  # at most filter_bits bits
-        .select("doc_id", "digest", F.coalesce(_test_bit("bitmap", F.bitmap_bit_position("at")), F.lit(False)).alias("maybe")),
+        .select("doc_id", "digest", test_bit("bitmap", F.bitmap_bit_position("at")).alias("maybe")),
         "suspects",
     )
+    groups = stage(told.filter("maybe").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    return told, groups
+
+
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical; null counts as empty. The largest id of a group stays.
+    Null ids lose to any other id and stay only where a group has no other. Repeated rows
+    of one id and text count each in ``group_size`` and share their fate. An empty table
+    gives no rows. Other columns of ``docs`` are not read.
+    """
+    told, groups = _suspects(docs, doc_id, text, filter_bits)
     alone = told.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
-    maybe = told.filter("maybe").select("doc_id", "digest")
-    groups = stage(maybe.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    share = max(1000, n // HOT_SHARE)
-    hot = groups.filter(F.col("group_size") > share)  # at most HOT_SHARE rows
-    marked = maybe.join(F.broadcast(hot), "digest", "left")
-    in_hot = marked.filter(F.col("group_size").isNotNull()).select("doc_id", "keep_id", "group_size", "digest")
-    in_cold = marked.filter(F.col("group_size").isNull()).select("doc_id", "digest").join(groups.filter(F.col("group_size") <= share), "digest").select("doc_id", "keep_id", "group_size", "digest")
-    return (
-        alone.unionByName(in_hot)
-        .unionByName(in_cold)
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-    )
+    grouped = join_by_key(told.filter("maybe").select("doc_id", "digest"), groups, "digest", "group_size").select("doc_id", "keep_id", "group_size", "digest")
+    return alone.unionByName(grouped).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, that of the largest doc_id; repeated rows become one.
+
+    Rows of other texts pass straight through; only the others shuffle.
+    """
+    _, groups = _suspects(docs, "doc_id", "text", FILTER_BITS)
+    again = groups.filter("group_size > 1")
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    rows = docs.withColumn("__digest", digest).withColumn("__key", F.xxhash64("__digest"))
+    alone, copies = split_by_marks(rows, "__key", again.select(F.xxhash64("digest").alias("__key")))
+    # An equi-join on digest and id together, so that the rows of a large group go to different tasks.
+    keep = again.select(F.col("digest").alias("__digest"), F.struct(F.coalesce("keep_id", F.lit(0)).alias("i"), F.col("keep_id").isNull().alias("n")).alias("__id"))
+    own = copies.withColumn("__id", F.struct(F.coalesce("doc_id", F.lit(0).cast("long")).alias("i"), F.col("doc_id").isNull().alias("n")))
+    stay = own.join(keep, ["__digest", "__id"], "left_semi").dropDuplicates(["__digest"])
+    # Marks may meet by chance: rows whose digest is in no such group stay as well.
+    other = copies.join(again.select(F.col("digest").alias("__digest")), "__digest", "left_anti")
+    return alone.select(*docs.columns).unionByName(stay.select(*docs.columns)).unionByName(other.select(*docs.columns))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._shared import bucket_count, join_by_key, pack, partitions, stage, text_bytes, unpack
+from ._shared import bucket_count, join_by_key, pack, partitions, split_by_marks, stage, text_bytes, unpack
 from ._words import U64, mix, shingle_sets, slices, words
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -351,7 +351,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, and row (a hash of id and text).
 
     Fewer words than a shingle are one shingle; without words (null, empty, white space) a
     row has no shingles and is its own component. ``component_id`` is the smallest doc_id
@@ -372,9 +372,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     n.append(len(tokens))
                     keys.append(class_key(tokens) if len(tokens) else None)
                     bits.append(signature(tokens).tobytes() if len(tokens) else None)
-                yield pa.record_batch([batch.column("doc_id")[lo:hi], pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "key", "bits"])
+                yield pa.record_batch([batch.column("row")[lo:hi], batch.column("doc_id")[lo:hi], pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary())], ["row", "doc_id", "n_shingles", "key", "bits"])
 
-    rows = stage(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n_shingles long, key long, bits binary"), "sets-of-documents")
+    rows = stage(docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").mapInArrow(describe, "row long, doc_id long, n_shingles long, key long, bits binary"), "sets-of-documents")
     classes = stage(
         rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies"))
         .withColumn("node", F.coalesce("node", F.expr(f"(key & {_NO_ID - 1}L) | {_NO_ID}L"))),
@@ -403,14 +403,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     edges = links.join(nodes.select(F.col("key").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("key").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
     final = components(edges)
     of_class = classes.join(final, "node", "left").select("key", "copies", F.coalesce("label", "node").alias("component_id"))
-    linked = join_by_key(rows.filter("key is not null").select("doc_id", "n_shingles", "key"), of_class, "key", "copies").select(
-        "doc_id", "n_shingles", F.when(F.col("component_id") < _NO_ID, F.col("component_id")).alias("component_id")
+    linked = join_by_key(rows.filter("key is not null").select("row", "doc_id", "n_shingles", "key"), of_class, "key", "copies").select(
+        "row", "doc_id", "n_shingles", F.when(F.col("component_id") < _NO_ID, F.col("component_id")).alias("component_id")
     )
-    return linked.unionByName(rows.filter("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return linked.unionByName(rows.filter("key is null").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest doc_id; rows without any id in their component stay."""
+    found = near_duplicates(docs, percent)
+    dropped = stage(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("component_id").isNotNull()).select(F.col("row").alias("__row")).distinct(), "dropped")
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    clear, others = split_by_marks(rows, "__row", dropped)
+    return clear.unionByName(others.join(dropped, "__row", "left_anti").select(*rows.columns)).drop("__row")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE: dict[str, str] = {}

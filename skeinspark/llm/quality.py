@@ -182,8 +182,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds:
     return FactorisationMachine.fit([pickle.loads(r["x"]) for r in got], np.array([r["quality"] for r in got], float))
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine, keep: list[str] = ["doc_id"]) -> DataFrame:
-    """``keep`` columns and the score of every row of ``docs`` (which has ``text``); null counts as empty."""
+def score_quality(docs: DataFrame, model: FactorisationMachine, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """``keep`` columns and the score (column ``name``) of every row of ``docs`` (which has ``text``); null counts as empty."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     own = [c for c in dict.fromkeys([*keep, "text"])]
@@ -195,11 +195,11 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, keep: list[str]
             for lo, hi, data, offs in slices(batch.column("text")):
                 w = words(data, offs)
                 scores[lo:hi] = fm.score(*word_features(w, hi - lo), structure(data, offs, w))
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(scores)], [*keep, "score"])
+            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(scores)], [*keep, name])
 
     chosen = docs.select(*own)
     kinds = {f.name: f.dataType.simpleString() for f in chosen.schema.fields}
-    return chosen.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    return chosen.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -213,6 +213,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     return scored.select("doc_id", in_fold("doc_id", 5).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
+def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score under ``threshold``."""
+    scored = score_quality(docs, fit_quality(docs, labels), tuple(docs.columns), "__score")
+    return scored.filter(F.col("__score") >= threshold).select(*docs.columns)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
