@@ -10,7 +10,7 @@ from pathlib import Path
 
 from . import _shared
 
-_MODULES = ("jaccard_join", "packing", "suffix_dedup", "embedding_dedup", "exact_dedup", "quality", "sharding", "bpe", "language")
+_MODULES = ("jaccard_join", "packing", "suffix_dedup", "language_model", "embedding_dedup", "exact_dedup", "quality", "sharding", "bpe", "language")
 
 
 def ship(spark) -> None:

@@ -99,7 +99,7 @@ def pack(*columns: np.ndarray) -> bytes:
     for c in columns:
         if c.dtype == np.uint64:
             c = np.diff(c, prepend=np.uint64(0))
-        planes = np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T
+        planes = np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T
         parts.append(np.uint32(len(c)).tobytes() + c.dtype.str.encode().ljust(4) + np.ascontiguousarray(planes).tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
