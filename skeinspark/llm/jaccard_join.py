@@ -47,8 +47,8 @@ def class_key(tokens: np.ndarray) -> int:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """A bitmap of about two bits for each token, of a power of two so that it can be folded."""
-    width = min(1 << 16, max(256, 1 << (2 * len(tokens) - 1).bit_length()))
+    """A bitmap of about four bits for each token, of a power of two so that it can be folded."""
+    width = min(1 << 16, max(256, 1 << (4 * len(tokens) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(tokens & U64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(U64)
@@ -60,8 +60,12 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def may_link(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int) -> int:
-    """The largest possible overlap of two classes, or -1 if that is too small."""
+def may_link(a: np.ndarray, na: int, room_a: int, b: np.ndarray, nb: int, room_b: int, percent: int) -> int:
+    """The largest possible overlap of two classes, or -1 if that is too small.
+
+    A class has no more room than its tokens from the run's own on: a pair that shares an
+    earlier token meets in that one's run.
+    """
     if 100 * min(na, nb) < percent * max(na, nb):
         return -1
     size = min(len(a), len(b))
@@ -69,30 +73,34 @@ def may_link(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int) -> in
     # Tokens that share a bit with others may all be common, or none: the smaller surplus bounds them.
     both = int(np.bitwise_count(a & b).sum())
     most = both + min(na - int(np.bitwise_count(a).sum()), nb - int(np.bitwise_count(b).sum()))
-    most = min(most, na, nb)
+    most = min(most, room_a, room_b)
     return most if most >= required(na, nb, percent) else -1
 
 
 class SignatureTree:
-    """Levels of nodes over classes in order of size; level 0 are the classes."""
+    """Levels of nodes over classes in order of size; level 0 are the classes.
+
+    A node has its OR-combined bitmap, range of sizes, largest room and surplus of tokens over
+    bits, and the component of its classes where they have one.
+    """
 
-    def __init__(self, sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray):
+    def __init__(self, sizes: np.ndarray, rooms: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray):
         order = np.argsort(sizes, kind="stable")
         self.order = order
         self.own = [bitmaps[k] for k in order]
         width = min(len(b) for b in bitmaps)
         bits = np.stack([folded(b, width) for b in self.own])
-        n = sizes[order]
+        n, room = sizes[order], rooms[order]
         surplus = n - np.bitwise_count(bits).sum(1).astype(np.int64)
         label = labels[order]
-        self.levels = [(bits, n, n, surplus, label)]
+        self.levels = [(bits, n, n, room, surplus, label)]
         while len(bits) > _FANOUT:
             at = np.arange(0, len(bits), _FANOUT)
             low, high = np.minimum.reduceat(n, at), np.maximum.reduceat(self.levels[-1][2], at)
             same = np.minimum.reduceat(label, at) == np.maximum.reduceat(label, at)
             label = np.where(same, label[at], -1)
-            bits, n, surplus = np.bitwise_or.reduceat(bits, at, axis=0), low, np.maximum.reduceat(surplus, at)
-            self.levels.append((bits, low, high, surplus, label))
+            bits, n, room, surplus = np.bitwise_or.reduceat(bits, at, axis=0), low, np.maximum.reduceat(room, at), np.maximum.reduceat(surplus, at)
+            self.levels.append((bits, low, high, room, surplus, label))
 
     def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Dual traversal: pairs of classes (positions given to the constructor) that may link, with their largest overlaps.
@@ -102,7 +110,7 @@ class SignatureTree:
         top = len(self.levels[-1][0])
         i, j = np.triu_indices(top)
         for depth in range(len(self.levels) - 1, -1, -1):
-            bits, low, high, surplus, label = self.levels[depth]
+            bits, low, high, room, surplus, label = self.levels[depth]
             kept_i, kept_j, kept_most = [], [], []
             for lo in range(0, len(i), 1 << 15):
                 a, b = i[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
@@ -112,7 +120,7 @@ class SignatureTree:
                 near &= (label[a] != label[b]) | (label[a] < 0)
                 a, b = a[near], b[near]
                 most = np.bitwise_count(bits[a] & bits[b]).sum(1).astype(np.int64) + np.minimum(surplus[a], surplus[b])
-                most = np.minimum(most, np.minimum(high[a], high[b]))
+                most = np.minimum(most, np.minimum(room[a], room[b]))
                 ok = most >= required(low[a], low[b], percent)
                 kept_i.append(a[ok])
                 kept_j.append(b[ok])
@@ -125,8 +133,8 @@ class SignatureTree:
                 keep = (ci < below) & (cj < below) & (ci <= cj)
                 i, j = ci[keep], cj[keep]
         if len(self.own[-1]) > len(self.levels[0][0][0]):  # where the common width lost detail
-            n = self.levels[0][1]
-            fine = np.array([may_link(self.own[a], int(n[a]), self.own[b], int(n[b]), percent) for a, b in zip(i.tolist(), j.tolist())], np.int64)
+            n, room = self.levels[0][1].tolist(), self.levels[0][3].tolist()
+            fine = np.array([may_link(self.own[a], n[a], room[a], self.own[b], n[b], room[b], percent) for a, b in zip(i.tolist(), j.tolist())], np.int64)
             i, j, most = i[fine >= 0], j[fine >= 0], fine[fine >= 0]
         return self.order[i], self.order[j], most
 
@@ -201,24 +209,27 @@ def _has(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def candidate_runs(texts: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """Distinct runs: run, block, blocks and members. Every block of a run begins with the run's first member."""
+    """Distinct runs, a row for each member: run, block, blocks, key and place (in the member's prefix).
+
+    Runs with the same members are one, with the least places. Every block of a run has the run's first member.
+    """
     table = texts.sparkSession.sparkContext.broadcast(frequent_tokens(texts, buckets, percent))
 
     def emit(batches):
         def postings(t, key):
             often = _has(table.value, (t >> U64(16)) % U64(TABLE_BITS))
             p = np.concatenate([t[~often], t[often]])[: prefix_length(len(t), percent)]
-            return p >> U64(16), np.full(len(p), key, np.int64), np.full(len(p), len(t), np.uint32)
+            return p >> U64(16), np.full(len(p), key, np.int64), np.full(len(p), len(t), np.uint32), np.arange(len(p), dtype=np.uint32)
 
         yield from _packed(batches, buckets, postings)
 
     def runs(blocks):
-        token, key, n = (np.concatenate(c) for c in zip(*blocks))
-        order = np.lexsort((key, n, token))
-        token, key, n = token[order], key[order], n[order].astype(np.int64)
+        token, key, n, place = (np.concatenate(c) for c in zip(*blocks))
+        order = np.lexsort((place, key, n, token))
+        token, key, n, place = token[order], key[order], n[order].astype(np.int64), place[order].astype(np.int64)
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-        token, key, n = token[new], key[new], n[new]
+        token, key, n, place = token[new], key[new], n[new], place[new]
         # A run ends with its token, or where the next larger class is too large for all before it.
         cut = np.ones(len(token), bool)
         cut[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])
@@ -227,35 +238,39 @@ def candidate_runs(texts: DataFrame, buckets: int, percent: int) -> DataFrame:
         names = np.add.reduceat(mix(key.view(U64)), first).view(np.int64) if len(first) else np.zeros(0, np.int64)
         many = size > 1
         first, size, names = first[many], size[many], names[many]
-        _, one = np.unique(names, return_index=True)
-        out: list[list] = [[], [], [], []]
-        for k in one.tolist():
-            members = key[first[k] : first[k] + size[k]]
+        order = np.argsort(names, kind="stable")
+        first, size, names = first[order], size[order], names[order]
+        out: list[list] = [[], [], [], [], []]
+        alike = np.flatnonzero(np.diff(names, prepend=names[:1] + 1) != 0).tolist()
+        for x, y in zip(alike, [*alike[1:], len(names)]):
+            members = key[first[x] : first[x] + size[x]]
+            places = np.minimum.reduce([place[f : f + size[x]] for f in first[x:y]])
             pieces = -(-(len(members) - 1) // (BLOCK - 1))
             for p in range(pieces):
-                part = members[1 + p * (BLOCK - 1) : 1 + (p + 1) * (BLOCK - 1)]
-                for c, v in zip(out, (names[k], p, pieces, np.append(members[:1], part))):
+                part = np.append(0, np.arange(1 + p * (BLOCK - 1), min(1 + (p + 1) * (BLOCK - 1), len(members))))
+                for c, v in zip(out, (np.full(len(part), names[x]), np.full(len(part), p), np.full(len(part), pieces), members[part], places[part])):
                     c.append(v)
-        return pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64()))], ["run", "block", "blocks", "members"])
+        columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+        return pa.record_batch([pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["run", "block", "blocks", "key", "place"])
 
-    found = _by_bucket(texts.mapInArrow(emit, "bucket int, block binary"), runs, "run long, block int, blocks int, members array<long>")
-    return stage(found.groupBy("run", "block").agg(F.first("blocks").alias("blocks"), F.first("members").alias("members")), "runs")
+    found = _by_bucket(texts.mapInArrow(emit, "bucket int, block binary"), runs, "run long, block int, blocks int, key long, place long")
+    return stage(found.groupBy("run", "block", "key").agg(F.first("blocks").alias("blocks"), F.min("place").alias("place")), "runs")
 
 
 def _tree_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs (a, b) that may link in each unit of rows with unit, side, key, n, bits and label.
+    """Pairs (a, b) that may link in each unit of rows with unit, side, key, place, n, bits and label.
 
     ``forest``: only each class with its best earlier partner. Otherwise all pairs between
     different labels; where a unit has two sides, pairs between these.
     """
 
-    def unit_pairs(key, n, bits, label, side):
+    def unit_pairs(key, n, room, bits, label, side):
         if len(key) == 2:
-            if label[0] == label[1] and label[0] >= 0 or may_link(bits[0], int(n[0]), bits[1], int(n[1]), percent) < 0:
+            if label[0] == label[1] and label[0] >= 0 or may_link(bits[0], int(n[0]), int(room[0]), bits[1], int(n[1]), int(room[1]), percent) < 0:
                 return key[:0], key[:0]
             i, j = np.array([0]), np.array([1])
         else:
-            i, j, most = SignatureTree(n, bits, label).pairs(percent)
+            i, j, most = SignatureTree(n, room, bits, label).pairs(percent)
             if forest and len(i):
                 i, j = np.minimum(i, j), np.maximum(i, j)
                 order = np.lexsort((i, -most, j))
@@ -292,7 +307,7 @@ def _tree_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
         if len(cut) < 2:
             return
         ends = cut if last else cut[:-1]
-        key, n, label, side = (t.column(c).to_numpy() for c in ("key", "n", "label", "side"))
+        key, n, place, label, side = (t.column(c).to_numpy() for c in ("key", "n", "place", "label", "side"))
         raw = t.column("bits").to_pylist()
         out_a, out_b = [], []
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
@@ -301,7 +316,7 @@ def _tree_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
             own = np.sort(own) + a
             if len(own) < 2:
                 continue
-            x, y = unit_pairs(key[own], n[own].astype(np.int64), [np.frombuffer(raw[k], U64) for k in own], label[own], side[own])
+            x, y = unit_pairs(key[own], n[own], n[own] - place[own], [np.frombuffer(raw[k], U64) for k in own], label[own], side[own])
             out_a.append(x)
             out_b.append(y)
         if out_a:
@@ -382,21 +397,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     runs = candidate_runs(texts, buckets, percent)
     facts = classes.select("key", "n", "bits")
-    flat = runs.select("run", "block", "blocks", F.explode("members").alias("key"))
-    first = flat.join(facts, "key").select(F.xxhash64("run", "block").alias("unit"), F.lit(0).alias("side"), "key", "n", "bits", F.lit(-1).cast("long").alias("label"))
+    first = runs.join(facts, "key").select(F.xxhash64("run", "block").alias("unit"), F.lit(0).alias("side"), "key", "place", "n", "bits", F.lit(-1).cast("long").alias("label"))
     tried = stage(_tree_pairs(first, percent, True), "pairs")
     links = _verified(texts, tried, percent)
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # Second round: runs that still hold more than one component.
-    named = flat.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = runs.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed = named.groupBy("run").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("run")
     left = stage(named.join(mixed, "run", "left_semi"), "mixed-runs")
     # A run of several blocks becomes pairs of blocks.
     units = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("run", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "key", (F.pmod(F.xxhash64("label"), F.lit(1 << 62))).alias("label")
+        F.xxhash64("run", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "key", "place", (F.pmod(F.xxhash64("label"), F.lit(1 << 62))).alias("label")
     )
-    second = units.distinct().join(facts, "key").select("unit", "side", "key", "n", "bits", "label")
+    second = units.join(facts, "key").select("unit", "side", "key", "place", "n", "bits", "label")
     more = stage(_tree_pairs(second, percent, False).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_verified(texts, more, percent))
     nodes = classes.select("key", "node")
