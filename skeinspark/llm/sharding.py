@@ -40,7 +40,7 @@ class SlotMap:
             heapq.heappush(load, (held + size[slot], k))
         return SlotMap(shard, shards)
 
-    def rebalanced(self, size: list[int], shards: int | None = None, within: float = 0.005) -> SlotMap:
+    def rebalanced(self, size: list[int], shards: int | None = None, within: float = 0.002) -> SlotMap:
         """A next version for new slot sizes or a new number of shards, moving slots only off shards above the mean."""
         count = shards or self.shards
         shard, moved = list(self.shard), []
@@ -54,15 +54,14 @@ class SlotMap:
                 spare.append(slot)
         mean = sum(size) / count
         for k in range(count):
-            held[k].sort(key=lambda s: (size[s], s))
-            while held[k] and load[k] > mean * (1 + within) and load[k] - size[held[k][-1]] >= mean * (1 - within) - size[held[k][0]]:
-                fits = [s for s in held[k] if load[k] - size[s] >= mean * (1 - within)]
-                slot = fits[-1] if fits else held[k][0]
-                if not size[slot]:
+            over = load[k] - mean * (1 + within)
+            for slot in sorted(held[k], key=lambda s: (-size[s], s)):
+                if 0 < size[slot] <= over + mean * within:
+                    over -= size[slot]
+                    load[k] -= size[slot]
+                    spare.append(slot)
+                if over <= 0:
                     break
-                held[k].remove(slot)
-                load[k] -= size[slot]
-                spare.append(slot)
         least = [(load[k], k) for k in range(count)]
         heapq.heapify(least)
         for slot in sorted(spare, key=lambda s: (-size[s], s)):
