@@ -26,10 +26,10 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_
     both = a.unionByName(b).withColumn("__b", cut(F.col("__t")))
     ends = both.groupBy(on, "__b").agg(F.max(F.when(F.col("__side") == 0, F.struct("__t", "__v"))).alias("__end"))
     before = W.Window.partitionBy(on).orderBy("__b").rowsBetween(W.Window.unboundedPreceding, -1)
-    carried = ends.select(on, "__b", F.last("__end", ignorenulls=True).over(before).alias("__carry"))
+    carried = ends.select(F.col(on).alias("__key"), F.col("__b").alias("__bucket"), F.last("__end", ignorenulls=True).over(before).alias("__carry"))
     inside = W.Window.partitionBy(on, "__b").orderBy("__t", "__side", "__v").rowsBetween(W.Window.unboundedPreceding, 0)
     held = both.withColumn("__last", F.last(F.when(F.col("__side") == 0, F.struct("__t", "__v")), ignorenulls=True).over(inside)).filter("__side = 1")
-    joined = held.join(carried, [held[on] == carried[on], held["__b"] == carried["__b"]], "left").drop(carried[on]).drop(carried["__b"])
+    joined = held.join(carried, (F.col(on) == F.col("__key")) & (F.col("__b") == F.col("__bucket")), "left")
     found = F.when(F.col(on).isNotNull() & F.col("__t").isNotNull(), F.coalesce("__last", "__carry"))
     return joined.select(*names, found["__v"].alias(alias))
 

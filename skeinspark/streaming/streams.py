@@ -18,7 +18,7 @@ def events(spark: SparkSession, path: str, files_per_trigger: int | None = None)
     reader = spark.readStream.schema(EVENTS)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    glob = f"{path[:-1]}[{path[-1]}]"  # a pattern may name a single file, a plain path only a folder
+    glob = path if set(path) & set("*?[{") else f"{path[:-1]}[{path[-1]}]"  # a pattern may name a single file, a plain path only a folder
     return reader.parquet(glob).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
