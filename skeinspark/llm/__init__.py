@@ -12,9 +12,13 @@ from . import _shared
 
 _MODULES = ("jaccard_join", "packing", "suffix_dedup", "language_model", "embedding_dedup", "exact_dedup", "quality", "sharding", "bpe", "language")
 
+#: Rows handed to a Python worker at once, at most: whole texts are large.
+ROWS = 1000
+
 
 def ship(spark) -> None:
-    """Give executors this package: once for each session, as a zip in the shared folder."""
+    """Bound what Python workers hold, and give executors this package: once for each session, as a zip in the shared folder."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
     context = spark.sparkContext
     if getattr(context, "_skein_shipped", False):
         return

@@ -25,7 +25,7 @@ from ._shared import ragged
 from ._words import slices, span_hashes
 
 #: Distinct pieces a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _NEVER = np.int64(1 << 40)
 _OTHER, _LETTER, _NUMBER, _WHITE = 0, 1, 2, 3
 
@@ -332,6 +332,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.A
     for batch in batches:
         for lo, hi, data, offs in slices(batch.column("text")):
             yield batch.column("doc_id")[lo:hi], *tool.encode(data, offs), tool
+    tool.forget()  # workers live on
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:

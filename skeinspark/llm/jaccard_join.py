@@ -139,7 +139,7 @@ class SignatureTree:
         return self.order[i], self.order[j], most
 
 
-def _packed(batches, buckets: int, per_doc, flush: int = 1 << 21):
+def _packed(batches, buckets: int, per_doc, flush: int = 1 << 19):
     """Runs ``per_doc(tokens) -> columns`` on the set of each new class and yields blocks by bucket of the first column."""
     seen: set[int] = set()
     held: list[tuple] = []
@@ -147,6 +147,7 @@ def _packed(batches, buckets: int, per_doc, flush: int = 1 << 21):
 
     def blocks():
         cols = [np.concatenate(c) for c in zip(*held)]
+        held.clear()
         bucket = (mix(cols[0]) % U64(buckets)).astype(np.int64)
         order = np.lexsort((cols[0], bucket))
         bucket, cols = bucket[order], [c[order] for c in cols]
@@ -163,7 +164,7 @@ def _packed(batches, buckets: int, per_doc, flush: int = 1 << 21):
                     n += len(held[-1][0])
             if n > flush:
                 yield blocks()
-                held, n = [], 0
+                n = 0
     if held:
         yield blocks()
 

@@ -87,6 +87,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                     [batch.column("doc_id")[lo:hi], pa.array(key << 20, pa.int64()), pa.array(np.diff(bound) + 1, pa.int64()), pa.array(blocks, pa.binary())],
                     ["doc_id", "place", "n_tokens", "ids"],
                 )
+        tool.forget()  # workers live on
 
     part = F.shiftrightunsigned(F.xxhash64("doc_id", "n_tokens"), 44)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, place long, n_tokens long, ids binary").withColumn("place", F.col("place") + part)
