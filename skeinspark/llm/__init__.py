@@ -18,7 +18,9 @@ ROWS = 1000
 
 def ship(spark) -> None:
     """Bound what Python workers hold, and give executors this package: once for each session, as a zip in the shared folder."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    spark.conf.set(name, min(rows, ROWS) if rows > 0 else ROWS)
     context = spark.sparkContext
     if getattr(context, "_skein_shipped", False):
         return
