@@ -25,7 +25,9 @@ from ._shared import ragged
 from ._words import slices, span_hashes
 
 #: Distinct pieces a worker remembers before it starts afresh.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
+#: Bytes of text encoded at once, about; encoding needs many times that.
+AT_ONCE = 1 << 18
 _NEVER = np.int64(1 << 40)
 _OTHER, _LETTER, _NUMBER, _WHITE = 0, 1, 2, 3
 
@@ -330,7 +332,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.A
     """For slices of batches with doc_id and text: ids of the documents, token ids, their bounds."""
     tool = encoder(path)
     for batch in batches:
-        for lo, hi, data, offs in slices(batch.column("text")):
+        for lo, hi, data, offs in slices(batch.column("text"), AT_ONCE):
             yield batch.column("doc_id")[lo:hi], *tool.encode(data, offs), tool
     tool.forget()  # workers live on
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ._shared import partitions, stage
 from ._words import U64, mix, slices, words
-from .bpe import default_vocabulary, encoder
+from .bpe import AT_ONCE, default_vocabulary, encoder
 
 #: Tokens of a sequence, and the id that ends each document.
 LENGTH, END = 2048, 1
@@ -78,7 +78,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=1)
         small = len(tool.token_bytes) <= 1 << 16
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column("text")):
+            for lo, hi, data, offs in slices(batch.column("text"), AT_ONCE):
                 ids, bound = tool.encode(data, offs)
                 ids = ids.astype("<u2" if small else "<u4")
                 key = curve_keys(data, offs)
