@@ -61,19 +61,26 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fi
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, that of the largest doc_id; repeated rows become one.
 
-    Rows of other texts pass straight through; only the others shuffle.
+    Rows of other texts pass straight through, and further copies are dropped where they are;
+    of the texts only those that stay in a group shuffle, and those that marks can't tell apart.
     """
-    _, groups = _suspects(docs, "doc_id", "text", FILTER_BITS)
-    again = groups.filter("group_size > 1")
+    told, groups = _suspects(docs, "doc_id", "text", FILTER_BITS)
+    again = groups.filter("group_size > 1").withColumn("key", F.xxhash64("digest"))
+    marked = again.select("key")
+    # Marks may meet by chance: digests that do so without a group of their own.
+    _, near = split_by_marks(told.select("digest", F.xxhash64("digest").alias("key")), "key", marked)
+    chance = stage(near.join(again.select("digest"), "digest", "left_anti").select("key").distinct(), "chance")
+
+    identity = lambda c: F.struct(F.coalesce(c, F.lit(0).cast("long")).alias("i"), c.isNull().alias("n"))
     digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    rows = docs.withColumn("__digest", digest).withColumn("__key", F.xxhash64("__digest"))
-    alone, copies = split_by_marks(rows, "__key", again.select(F.xxhash64("digest").alias("__key")))
+    rows = docs.withColumn("__digest", digest).withColumn("__key", F.xxhash64("__digest")).withColumn("__id", identity(F.col("doc_id"))).withColumn("__row", F.xxhash64("__digest", "__id"))
+    alone, members = split_by_marks(rows, "__key", marked.withColumnRenamed("key", "__key"))
+    keep = again.select(F.col("digest").alias("__digest"), identity(F.col("keep_id")).alias("__id"))
+    _, kept = split_by_marks(members, "__row", keep.select(F.xxhash64("__digest", "__id").alias("__row")))
     # An equi-join on digest and id together, so that the rows of a large group go to different tasks.
-    keep = again.select(F.col("digest").alias("__digest"), F.struct(F.coalesce("keep_id", F.lit(0)).alias("i"), F.col("keep_id").isNull().alias("n")).alias("__id"))
-    own = copies.withColumn("__id", F.struct(F.coalesce("doc_id", F.lit(0).cast("long")).alias("i"), F.col("doc_id").isNull().alias("n")))
-    stay = own.join(keep, ["__digest", "__id"], "left_semi").dropDuplicates(["__digest"])
-    # Marks may meet by chance: rows whose digest is in no such group stay as well.
-    other = copies.join(again.select(F.col("digest").alias("__digest")), "__digest", "left_anti")
+    stay = kept.join(keep, ["__digest", "__id"], "left_semi").dropDuplicates(["__digest", "__id"])
+    _, unsure = split_by_marks(members, "__key", chance.withColumnRenamed("key", "__key"))
+    other = unsure.join(again.select(F.col("digest").alias("__digest")), "__digest", "left_anti")
     return alone.select(*docs.columns).unionByName(stay.select(*docs.columns)).unionByName(other.select(*docs.columns))
 
 

@@ -76,6 +76,17 @@ def test_exact_dedup(docs, rows, empty):
     assert exact_dedup.drop_copies(empty).count() == 0
 
 
+def test_exact_dedup_where_marks_meet(spark, monkeypatch):
+    from skeinspark.llm import _shared
+
+    monkeypatch.setattr(_shared, "TABLE_BITS", 16)  # rows without copies meet the marks of others
+    texts = [f"text {k}" for k in range(60)] + [f"text {k}" for k in range(8)] + ["text 3", None, ""]
+    data = [(k, t) for k, t in enumerate(texts)] + [(70, "")]
+    kept = exact_dedup.drop_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    last = {t or "": k for k, t in data}
+    assert sorted(r["doc_id"] for r in kept) == sorted(last.values())
+
+
 def test_sharding(docs, rows, empty):
     got = sharding.shard_documents(docs, shards=5, slots=64).collect()
     assert sorted((r.size, r.text_crc32) for r in got) == sorted((len((x or "").encode()) + 8, zlib.crc32((x or "").encode())) for _, x in rows)
