@@ -4,16 +4,33 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
 
+#: Of the C library's mallopt: its names for the threshold of own mappings, for trimming and for arenas.
+_M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD, _M_ARENA_MAX = -1, -3, -8
+
+
+def return_memory() -> None:
+    """Freed arrays go back to the system at once: workers live on, and several share an executor's memory."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no mallopt
+        libc = ctypes.CDLL(None)
+        for name, value in ((_M_MMAP_THRESHOLD, 1 << 20), (_M_TRIM_THRESHOLD, 4 << 20), (_M_ARENA_MAX, 2)):
+            libc.mallopt(name, value)
+
+
+return_memory()
+
 
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``; a default only where that is unset."""
