@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import sys
 import uuid
 from urllib.parse import urlparse
 
@@ -32,6 +33,28 @@ def return_memory() -> None:
 return_memory()
 
 
+def tidy(run):
+    """For a function that workers run over batches: afterwards they keep no tools or tables, for workers live on."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def release() -> None:
+    from . import _words
+
+    if bpe := sys.modules.get(f"{__package__}.bpe"):
+        bpe.encoder.cache_clear()
+    _words.forget_powers()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``; a default only where that is unset."""
     return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")

@@ -49,6 +49,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def forget_powers() -> None:
+    global _powers
+    _powers = (np.zeros(0, U64), np.zeros(0, U64))
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes and the offsets (one more than rows) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._shared import bucket_count, join_by_key, pack, partitions, split_by_marks, stage, text_bytes, unpack
+from ._shared import bucket_count, join_by_key, pack, partitions, split_by_marks, stage, text_bytes, tidy, unpack
 from ._words import U64, mix, shingle_sets, slices, words
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -190,6 +190,7 @@ def bit_table(places: DataFrame) -> np.ndarray:
 def frequent_tokens(texts: DataFrame, buckets: int, percent: int) -> np.ndarray:
     """The table of tokens that stand in the prefixes of ``FREQUENT`` classes or more, of fixed size."""
 
+    @tidy
     def emit(batches):
         def tokens_of(t, key):
             return (t[: prefix_length(len(t), percent)] >> U64(16),)
@@ -216,6 +217,7 @@ def candidate_runs(texts: DataFrame, buckets: int, percent: int) -> DataFrame:
     """
     table = texts.sparkSession.sparkContext.broadcast(frequent_tokens(texts, buckets, percent))
 
+    @tidy
     def emit(batches):
         def postings(t, key):
             often = _has(table.value, (t >> U64(16)) % U64(TABLE_BITS))
@@ -283,6 +285,7 @@ def _tree_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
                 i, j = i[across], j[across]
         return np.minimum(key[i], key[j]), np.maximum(key[i], key[j])
 
+    @tidy
     def run(batches):
         rest = None
         for batch in batches:
@@ -333,6 +336,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     asked = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).select(F.expr(f"k & {TABLE_BITS - 1}L").alias("at"))
     wanted = texts.sparkSession.sparkContext.broadcast(bit_table(asked))  # of fixed size
 
+    @tidy
     def emit(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -347,6 +351,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     sets = stage(texts.mapInArrow(emit, "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens")), "sets", "none")
 
+    @tidy
     def check(batches):
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
@@ -380,6 +385,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     _, size = text_bytes(docs)
     buckets = bucket_count(spark, size)
 
+    @tidy
     def describe(batches):
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column("text")):

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import partitions, stage
+from ._shared import partitions, stage, tidy
 from ._words import U64, mix, slices, words
 from .bpe import AT_ONCE, default_vocabulary, encoder
 
@@ -111,6 +111,7 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, path: str | None = Non
     cuts = np.unique(np.array(cuts or [], np.int64))
     small = len(encoder(path).token_bytes) <= 1 << 16
 
+    @tidy
     def ranged(batches):
         for batch in batches:
             place = batch.column("place").to_numpy()
@@ -124,6 +125,7 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, path: str | None = Non
     for k in range(len(cuts) + 1):
         base[k], before = before, before + held.get(k, 0)
 
+    @tidy
     def pieces(batches):
         expand = zstandard.ZstdDecompressor()
         at, current = 0, None

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import tidy
 from ._words import U64, slices, words
 
 #: Labelled rows to fit on at most, word buckets, factors, bins of each statistic, and the score from which a text is good.
@@ -166,6 +167,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds:
         .limit(sample)
     )
 
+    @tidy
     def features(batches):
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column("text")):
@@ -188,6 +190,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, keep: tuple[str,
     shared = spark.sparkContext.broadcast(model)
     own = [c for c in dict.fromkeys([*keep, "text"])]
 
+    @tidy
     def run(batches):
         fm = shared.value
         for batch in batches:

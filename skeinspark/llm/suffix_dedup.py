@@ -21,7 +21,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import TABLE_BITS, bit_table, bucket_count, has_bits, pack, stage, text_bytes, unpack
+from ._shared import TABLE_BITS, bit_table, bucket_count, has_bits, pack, stage, text_bytes, tidy, unpack
 from ._words import U64, gram_hashes, mix, slices, words
 
 #: Words of a repeated passage at least, and of the grams that anchors are chosen from.
@@ -57,6 +57,7 @@ def _blocks(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
 def repeated_anchors(texts: DataFrame, buckets: int, min_words: int, gram: int) -> np.ndarray:
     """The table of anchors that occur more than once, of fixed size."""
 
+    @tidy
     def emit(batches):
         held, n = [], 0
 
@@ -108,6 +109,7 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GR
     buckets = bucket_count(spark, size)
     table = spark.sparkContext.broadcast(repeated_anchors(docs.select("text"), buckets, min_words, gram))
 
+    @tidy
     def emit(batches):
         held, names, n, docs_held = [], [], 0, 0
 
@@ -216,6 +218,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
 def _union(found: DataFrame) -> DataFrame:
     """The union of each row's intervals: key, start, stop, other. A row has no more of them than words."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
@@ -252,6 +255,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
     names = docs.columns
     schema = docs.schema
 
+    @tidy
     def cut(batches):
         for batch in batches:
             texts = []
