@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from skeinspark.functions.columns import money
 from skeinspark.operators.joins import asof_join, interval_join, range_join, salted_join
+from skeinspark.operators.sorting import placed
 from skeinspark.plans.registry import Registry
 from skeinspark.sources import formats
 from skeinspark.sources.tables import table
@@ -234,6 +235,15 @@ def o1_sort_nulls(spark, sf_dir):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_first("quality"), "doc_id")))
 
 
+@query("""
+SELECT doc_id, quality, row_number() OVER (ORDER BY quality DESC NULLS FIRST, doc_id) AS place
+FROM (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) ORDER BY quality DESC NULLS FIRST, doc_id
+""")
+def o1_sort_nulls_all(spark, sf_dir):
+    joined = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return placed(joined, "quality", "doc_id").orderBy(F.desc_nulls_first("quality"), "doc_id")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def o2_top_k(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)

@@ -6,9 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinspark.operators.joins import asof_join, interval_join, range_join, salted_join
+from skeinspark.operators.sorting import placed
+from skeinspark.plans import catalogue
 from skeinspark.sources import formats
 from skeinspark.streaming import streams
 
+from .conftest import SF
+
 T0 = datetime(2024, 1, 1)
 
 
@@ -65,3 +69,18 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream = streams.events(spark, f"{tmp_path}/*", files_per_trigger=1)
     got = {(r.start, r.n) for r in streams.run_to_end(streams.windowed_counts(stream), "late").collect()}
     assert (T0, 1) in got and len(got) >= 2
+
+
+@pytest.mark.parametrize("pieces", [1, 4, 64])
+def test_placed(spark, pieces):
+    rows = [(k * 7919 % 1009, [None, 0, 1, 2][k % 4]) for k in range(300)] + [(None, 1), (None, None)]
+    df = spark.createDataFrame(rows, "k bigint, v int")
+    want = sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[0] is not None, r[0] or 0))
+    assert [(r.k, r.v) for r in sorted(placed(df, "v", "k", pieces).collect(), key=lambda r: r.place)] == want
+    assert placed(df.limit(0), "v", "k", pieces).count() == 0
+
+
+def test_sort_nulls_has_every_row(spark):
+    got = catalogue.queries()["o1_sort_nulls_all"](spark, SF).collect()
+    assert len(got) == 200 and [r.place for r in got] == list(range(1, 201))
+    assert [r.quality is None for r in got] == [True] * 113 + [False] * 87
