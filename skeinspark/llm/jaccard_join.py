@@ -10,6 +10,8 @@
    forest of each run; a second one tries what is left between different components, so
    large groups of copies never become all their pairs.
 
+5. Where links are asked for, all pairs of each component are compared, in pairs of blocks.
+
 Nothing is sampled or capped. Texts are read again for each pass and never shuffled.
 """
 
@@ -26,8 +28,8 @@ from ._words import U64, mix, shingle_sets, slices, words
 
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE, PERCENT = 5, 75
-#: Classes under a token from which it counts as frequent, bits of the table of frequent tokens (8 MB), and classes in a block of a run.
-FREQUENT, TABLE_BITS, BLOCK = 32, 1 << 26, 1024
+#: Classes under a token from which it counts as frequent, bits of the table of frequent tokens (8 MB), classes in a block of a run, and in a block of a component whose links are counted.
+FREQUENT, TABLE_BITS, BLOCK, LINKS = 32, 1 << 26, 1024, 256
 _NO_ID = 1 << 62
 _FANOUT = 8
 
@@ -331,10 +333,9 @@ def _tree_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets link. Sets are made again from texts, for the classes asked for, in 40 bits a token."""
-    asked = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).select(F.expr(f"k & {TABLE_BITS - 1}L").alias("at"))
-    wanted = texts.sparkSession.sparkContext.broadcast(bit_table(asked))  # of fixed size
+def _sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Key and tokens of the classes in ``keys`` (column k): sets are made again from texts, in 40 bits a token."""
+    wanted = texts.sparkSession.sparkContext.broadcast(bit_table(keys.select(F.expr(f"k & {TABLE_BITS - 1}L").alias("at"))))  # of fixed size
 
     @tidy
     def emit(batches):
@@ -349,7 +350,12 @@ def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                         sets.append(pack(tokens >> U64(24)))
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "tokens"])
 
-    sets = stage(texts.mapInArrow(emit, "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens")), "sets", "none")
+    return stage(texts.mapInArrow(emit, "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens")), "sets", "none")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets link."""
+    sets = _sets(texts, pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))))
 
     @tidy
     def check(batches):
@@ -371,9 +377,80 @@ def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return stage(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, ok boolean").filter("ok").select("a", "b"), "links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Common tokens of each set of ``x`` with each of ``y``, as products of 0/1 matrices over slices of the tokens of both."""
+    a, b = np.concatenate(x), np.concatenate(y)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(x), len(y)), np.int64)
+    sides = []
+    for t, sets in ((a, x), (b, y)):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(both, t)
+        ok = at < len(both)
+        ok[ok] = both[at[ok]] == t[ok]
+        row, at = row[ok], at[ok]
+        order = np.argsort(at, kind="stable")
+        sides.append((row[order], at[order]))
+    for lo in range(0, len(both), 4096):
+        width = min(4096, len(both) - lo)
+        dense = []
+        for (row, at), sets in zip(sides, (x, y)):
+            i, j = np.searchsorted(at, [lo, lo + width])
+            m = np.zeros((len(sets), width), np.float32)
+            m[row[i:j], at[i:j] - lo] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def _others(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Key and ``others``, the rows of all other classes that link to the class; classes of no link may be missing.
+
+    ``members`` has group, key, node and copies. Classes that link are in one group, so all pairs of each group are
+    compared, in pairs of blocks of ``LINKS`` classes. Two classes of different nodes that make up a group do link.
+    """
+    groups = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.sum("copies").alias("total"), F.min("node").alias("x"), F.max("node").alias("y"))
+    told = stage(join_by_key(members, stage(groups.filter("size > 1"), "groups"), "group", "size"), "members")
+    two = (F.col("size") == 2) & (F.col("x") != F.col("y"))
+    pairs = told.filter(two).select("key", (F.col("total") - F.col("copies")).alias("others"))
+    rest = told.filter(~two)
+    sets = _sets(texts, rest.select(F.col("key").alias("k")))
+    blocks = F.ceil(F.col("size") / LINKS).cast("int")
+    units = (
+        rest.withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "key", "copies", (F.col("block") > F.col("other")).alias("right"))
+    )
+
+    def count(t: pa.Table) -> pa.Table:
+        key, copies, right = t.column("key").to_numpy(), t.column("copies").to_numpy(), t.column("right").to_numpy()
+        tokens = [unpack(b)[0] for b in t.column("tokens").to_pylist()]
+        n = np.array([len(x) for x in tokens])
+        one = t.column("lo")[0] == t.column("hi")[0]
+        i = np.arange(len(key)) if one else np.flatnonzero(~right)
+        j = i if one else np.flatnonzero(right)
+        found = np.zeros(len(key), np.int64)
+        if len(i) and len(j):
+            common = overlaps([tokens[k] for k in i], [tokens[k] for k in j])
+            ok = 100 * common >= percent * (n[i][:, None] + n[j] - common)
+            if one:
+                np.fill_diagonal(ok, False)
+            found[i] = ok @ copies[j]
+            if not one:
+                found[j] = copies[i] @ ok
+        return pa.table({"key": pa.array(key, pa.int64()), "others": pa.array(found, pa.int64())})
+
+    counted = units.join(sets, "key").groupBy("group", "lo", "hi").applyInArrow(count, "key long, others long")
+    return pairs.unionByName(counted).groupBy("key").agg(F.sum("others").alias("others"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, links: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, and row (a hash of id and text).
 
+    With ``links`` also n_links: the other rows (of whatever id) that link to the row itself, copies among them;
+    none without shingles. All pairs of a component are compared for it.
+
     Fewer words than a shingle are one shingle; without words (null, empty, white space) a
     row has no shingles and is its own component. ``component_id`` is the smallest doc_id
     reachable by links. Rows with a null id link like others, and have a null component
@@ -406,8 +483,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     facts = classes.select("key", "n", "bits")
     first = runs.join(facts, "key").select(F.xxhash64("run", "block").alias("unit"), F.lit(0).alias("side"), "key", "place", "n", "bits", F.lit(-1).cast("long").alias("label"))
     tried = stage(_tree_pairs(first, percent, True), "pairs")
-    links = _verified(texts, tried, percent)
-    labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    linked_pairs = _verified(texts, tried, percent)
+    labels = components(linked_pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # Second round: runs that still hold more than one component.
     named = runs.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -419,15 +496,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     second = units.join(facts, "key").select("unit", "side", "key", "place", "n", "bits", "label")
     more = stage(_tree_pairs(second, percent, False).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_verified(texts, more, percent))
+    linked_pairs = linked_pairs.unionByName(_verified(texts, more, percent))
     nodes = classes.select("key", "node")
-    edges = links.join(nodes.select(F.col("key").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("key").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
+    edges = linked_pairs.join(nodes.select(F.col("key").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("key").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
     final = components(edges)
-    of_class = classes.join(final, "node", "left").select("key", "copies", F.coalesce("label", "node").alias("component_id"))
-    linked = join_by_key(rows.filter("key is not null").select("row", "doc_id", "n_shingles", "key"), of_class, "key", "copies").select(
-        "row", "doc_id", "n_shingles", F.when(F.col("component_id") < _NO_ID, F.col("component_id")).alias("component_id")
+    of_class = classes.join(final, "node", "left").select("key", "node", "copies", F.coalesce("label", "node").alias("component_id"))
+    facts = of_class.drop("node")
+    if links:
+        others = _others(texts, of_class.select(F.col("component_id").alias("group"), "key", "node", "copies"), percent)
+        counted = of_class.join(others, "key", "left").select("key", "copies", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        facts = stage(counted, "facts")
+    more_columns = ["n_links"] if links else []
+    linked = join_by_key(rows.filter("key is not null").select("row", "doc_id", "n_shingles", "key"), facts, "key", "copies").select(
+        "row", "doc_id", "n_shingles", F.when(F.col("component_id") < _NO_ID, F.col("component_id")).alias("component_id"), *more_columns
     )
-    return linked.unionByName(rows.filter("key is null").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    alone = rows.filter("key is null").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in more_columns])
+    return linked.unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -440,7 +524,7 @@ def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), links=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 ORACLE: dict[str, str] = {}

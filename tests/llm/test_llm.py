@@ -235,6 +235,33 @@ def test_jaccard_join_of_clusters(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(brute_components(rows))
 
 
+def brute_join_links(rows):
+    """Other rows whose sets link, for each row."""
+    sets = [shingles(x) for _, x in rows]
+    link = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    return [(i, sum(link(s, t) for k, t in enumerate(sets) if k != m)) for m, ((i, _), s) in enumerate(zip(rows, sets))]
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_jaccard_join_counts_every_link(spark, docs, rows, empty, monkeypatch, block):
+    """Groups of several blocks, copies, null ids, and different texts of one id."""
+    monkeypatch.setattr(jaccard_join, "LINKS", block)
+    got = jaccard_join.near_duplicates(docs, links=True).select("doc_id", "n_links").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_join_links(rows)))
+    assert jaccard_join.near_duplicates(empty, links=True).count() == 0
+    rng = np.random.default_rng(19)
+    made = []
+    for k in range(60):
+        w = [f"b{i}" for i in range(60)]
+        for _ in range(int(rng.integers(0, 4))):
+            w[int(rng.integers(0, 60))] = f"e{k}"
+        made.append((k // 2 * 2 if k < 8 else k, " ".join(w)))
+    made += [(70, "p q r s t u"), (70, "v w x y z a b"), made[3]]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    got = jaccard_join.near_duplicates(df, links=True).select("doc_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_join_links(made))
+
+
 def test_signature_tree_keeps_all_links():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
