@@ -14,12 +14,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._words import slices
 from .quality import in_fold
 
-#: Rows of each language to fit on at most, languages at most (the most common), n-gram buckets, longest n-gram.
-PER_LANGUAGE, LANGUAGES, BUCKETS, GRAM = 2000, 128, 2048, 4
+#: Rows of each language to fit on at most, rows of all languages at most (more languages have fewer rows each), n-gram buckets, longest n-gram.
+PER_LANGUAGE, SAMPLE, BUCKETS, GRAM = 2000, 256_000, 2048, 4
 #: A winner of less than this share over the second is ambiguous.
 AMBIGUOUS = 0.2
 
@@ -29,6 +30,13 @@ _FOLD[[9, 10, 11, 12, 13, *range(33, 65), *range(91, 97), *range(123, 127)]] = 3
 _LETTER = regex.compile(r"\p{L}")
 
 
+def _least_gap(c: np.ndarray, lo: int, rows: int = 256) -> float:
+    """Least number of places in which a codeword of ``rows`` from ``lo`` on differs from another."""
+    differ = (c.shape[1] - c[lo : lo + rows] @ c.T) / 2
+    differ[np.arange(len(differ)), lo + np.arange(len(differ))] = np.inf
+    return differ.min()
+
+
 def codewords(n: int, seed: int = 11) -> np.ndarray:
     """Codes of ``n`` languages: all splits in two where these are few, else random ones far apart."""
     if n <= 1:
@@ -41,7 +49,7 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
     for _ in range(50):
         c = rng.choice([-1.0, 1.0], (n, width))
         c = c[:, np.abs(c.sum(0)) < n]
-        gap = ((c[:, None] != c[None]).sum(2) + 10 * width * np.eye(n)).min()
+        gap = min(_least_gap(c, lo) for lo in range(0, n, 256))
         if best is None or gap > best[0]:
             best = (gap, c)
     return best[1]
@@ -103,18 +111,19 @@ class OutputCodes:
         return order[:, 0], p[rows, order[:, 0]], second, p[rows, order[:, 0]] - np.where(p.shape[1] > 1, p[rows, second], 0)
 
 
-def fit_language(docs: DataFrame, folds: int = 5, each: int = PER_LANGUAGE, most: int = LANGUAGES) -> OutputCodes:
-    """Fit on at most ``each`` rows of each of at most ``most`` languages, outside the held-out fold."""
-    spark = docs.sparkSession
+def fit_language(docs: DataFrame, folds: int = 5, each: int = PER_LANGUAGE, sample: int = SAMPLE) -> OutputCodes:
+    """Fit on every language, on at most ``each`` rows of one and about ``sample`` in all (one of each language at least), outside the held-out fold."""
     known = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id", folds))
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()]
-    if not names:
+    n = known.select("lang").distinct().count()
+    if not n:
         return OutputCodes.fit(np.zeros((0, BUCKETS)), [])
-    chosen = None
-    for name in names:  # at most ``each`` ids of each language
-        some = known.filter(F.col("lang") == name).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    chosen = chosen.distinct()
+    each = max(1, min(each, sample // n))
+    # First within pieces of each language, so that no task ranks all ids of a common one.
+    chosen = known.withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    for by in (("lang", "piece"), ("lang",)):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        chosen = chosen.withColumn("rank", rank).filter(F.col("rank") <= each).drop("rank")
+    chosen = chosen.select("doc_id").distinct()
 
     def run(batches):
         for batch in batches:
@@ -122,8 +131,8 @@ def fit_language(docs: DataFrame, folds: int = 5, each: int = PER_LANGUAGE, most
                 x = features(data, offs).astype(np.float16)
                 yield pa.record_batch([batch.column("doc_id")[lo:hi], batch.column("lang")[lo:hi], pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
 
-    texts = docs.select("doc_id", "lang", "text").filter(F.col("lang").isin(names)).join(F.broadcast(chosen), "doc_id")
-    got = texts.mapInArrow(run, "doc_id long, lang string, x binary").orderBy("doc_id", "lang").limit(2 * each * len(names)).collect()
+    texts = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    got = texts.mapInArrow(run, "doc_id long, lang string, x binary").orderBy("doc_id", "lang").limit(2 * each * n).collect()
     x = np.frombuffer(b"".join(r["x"] for r in got), np.float16).reshape(-1, BUCKETS).astype(np.float32)
     return OutputCodes.fit(x, [r["lang"] for r in got])
 

@@ -409,6 +409,25 @@ def test_language(spark, docs, rows, empty):
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"} and language.identify(empty, model).count() == 0
 
 
+def test_language_learns_every_language(spark):
+    """140 languages of a word each, the rarest with the fewest rows; a small bound lowers the rows of each."""
+    llm.ship(spark)
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + k * 7 % 26)} " * 8 for k in range(140)]
+    data = [(k * 10 + j, words[k], f"l{k:03}") for k in range(140) for j in range(10 if k < 139 else 6)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(4)
+    model = language.fit_language(df)
+    assert model.languages == [f"l{k:03}" for k in range(140)]
+    got = language.identify(df, model).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got if r.lang == "l139"]) == 1
+    assert language.fit_language(df, sample=50).languages == model.languages
+
+
+def test_codeword_gaps():
+    c = language.codewords(300)
+    brute = min((c[a] != c[b]).sum() for a, b in itertools.combinations(range(300), 2))
+    assert min(language._least_gap(c, lo) for lo in range(0, 300, 256)) == brute
+
+
 def test_codewords():
     for n in (2, 4, 7, 12, 60):
         c = language.codewords(n)
