@@ -151,6 +151,17 @@ def x3_table_udf(spark, sf_dir):
     return table(spark, sf_dir, "nation").lateralJoin(Parts(F.col("n_name").outer())).select("n_nationkey", "part", "word")
 
 
+@query("SELECT doc_id, i AS part, string_split(text, ' ')[i] AS word FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, ' ')) + 1)) AS i)")
+def x3_table_udf_documents(spark, sf_dir):
+    @F.udtf(returnType="part bigint, word string")
+    class Words:
+        def eval(self, text: str):
+            for i, w in enumerate(text.split(" ") if text is not None else (), 1):
+                yield i, w
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").lateralJoin(Words(F.col("text").outer())).select("doc_id", "part", "word")
+
+
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def x4_grouped_map(spark, sf_dir):
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -89,3 +89,12 @@ def test_sort_nulls_has_every_row(spark):
 def test_pivot_counts_every_event(spark):
     rows = catalogue.queries()["a10_pivot_all"](spark, SF).collect()
     assert sum(sum(r[1:]) for r in rows) == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_table_udf_meets_whole_texts(spark):
+    """Words put together again are the texts, the longest and the empty ones too."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {}
+    for r in catalogue.queries()["x3_table_udf_documents"](spark, SF).collect():
+        got.setdefault(r.doc_id, {})[r.part] = r.word
+    assert {k: " ".join(w[i] for i in sorted(w)) for k, w in got.items()} == docs
