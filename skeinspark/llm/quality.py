@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words and structure statistics.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
 Scores take linear time by the identity
 ``sum_{i<j} <v_i, v_j> x_i x_j = (|sum_i v_i x_i|^2 - sum_i |v_i|^2 x_i^2) / 2``.
@@ -73,6 +73,21 @@ def structure(data: np.ndarray, offs: np.ndarray, w) -> np.ndarray:
     return np.stack(cols, 1)
 
 
+#: Metadata columns: whether the text is null, n_chars on a log scale, and whether it is null.
+METADATA = 3
+
+
+def with_metadata(docs: DataFrame, *names: str) -> DataFrame:
+    """``names`` and text of ``docs``, and __n_chars, null where ``docs`` has no such column."""
+    size = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
+    return docs.select(*names, "text", size.cast("long").alias("__n_chars"))
+
+
+def metadata(text: pa.Array, n_chars: pa.Array) -> np.ndarray:
+    size = n_chars.fill_null(0).to_numpy(zero_copy_only=False)
+    return np.stack([text.is_null().to_numpy(zero_copy_only=False), np.log1p(np.maximum(size, 0)) / 12, n_chars.is_null().to_numpy(zero_copy_only=False)], 1).astype(float)
+
+
 def word_features(w, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, bucket and value of hashed words: damped counts, each row of unit length."""
     key = w.row.astype(np.int64) * BUCKETS + (w.hash >> U64(20)).astype(np.int64) % BUCKETS
@@ -117,7 +132,7 @@ class FactorisationMachine:
     def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.02, decay: float = 2e-4, seed: int = 5) -> FactorisationMachine:
         """Adam on the logistic loss. ``rows``: buckets, values and statistics of each text."""
         rng = np.random.default_rng(seed)
-        stats = np.stack([r[2] for r in rows]) if rows else np.zeros((0, len(_CLASSES) + 10))
+        stats = np.stack([r[2] for r in rows]) if rows else np.zeros((0, len(_CLASSES) + 10 + METADATA))
         m = stats.shape[1]
         if not len(y) or y.min() == y.max():  # nothing to tell apart: a constant
             p = np.clip(y.mean(), 0.01, 0.99) if len(y) else 0.5
@@ -173,22 +188,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds:
             for lo, hi, data, offs in slices(batch.column("text")):
                 w = words(data, offs)
                 row, bucket, value = word_features(w, hi - lo)
-                stats = structure(data, offs, w)
+                stats = np.concatenate([structure(data, offs, w), metadata(batch.column("text")[lo:hi], batch.column("__n_chars")[lo:hi])], 1)
                 order = np.argsort(row, kind="stable")
                 cut = np.searchsorted(row[order], np.arange(hi - lo + 1))
                 out = [pickle.dumps((bucket[order[a:b]].astype(np.int16), value[order[a:b]].astype(np.float32), stats[k])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
                 yield pa.record_batch([batch.column("doc_id")[lo:hi], batch.column("quality")[lo:hi], pa.array(out, pa.binary())], ["doc_id", "quality", "x"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
-    got = texts.select("doc_id", "quality", "text").mapInArrow(features, "doc_id long, quality int, x binary").orderBy("doc_id", "quality").limit(2 * sample).collect()
+    texts = with_metadata(docs, "doc_id").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    got = texts.select("doc_id", "quality", "text", "__n_chars").mapInArrow(features, "doc_id long, quality int, x binary").orderBy("doc_id", "quality").limit(2 * sample).collect()
     return FactorisationMachine.fit([pickle.loads(r["x"]) for r in got], np.array([r["quality"] for r in got], float))
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """``keep`` columns and the score (column ``name``) of every row of ``docs`` (which has ``text``); null counts as empty."""
+    """``keep`` columns and the score (column ``name``) of every row of ``docs`` (which has ``text``, and ``n_chars`` where known); null counts as empty."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    own = [c for c in dict.fromkeys([*keep, "text"])]
 
     @tidy
     def run(batches):
@@ -197,10 +211,11 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, keep: tuple[str,
             scores = np.zeros(batch.num_rows)
             for lo, hi, data, offs in slices(batch.column("text")):
                 w = words(data, offs)
-                scores[lo:hi] = fm.score(*word_features(w, hi - lo), structure(data, offs, w))
+                stats = np.concatenate([structure(data, offs, w), metadata(batch.column("text")[lo:hi], batch.column("__n_chars")[lo:hi])], 1)
+                scores[lo:hi] = fm.score(*word_features(w, hi - lo), stats)
             yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(scores)], [*keep, name])
 
-    chosen = docs.select(*own)
+    chosen = with_metadata(docs, *[c for c in keep if c != "text"])
     kinds = {f.name: f.dataType.simpleString() for f in chosen.schema.fields}
     return chosen.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{name}` double")
 
@@ -208,7 +223,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, keep: tuple[str,
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted (1: good) of every row.
 
-    Null and empty texts get the score of an empty text. Repeated rows score alike. Labels
+    A null text scores as an empty one that is told as null; n_chars is read where there is one. Repeated rows score alike. Labels
     with a null id or value are not used; without both labels the score is a constant. An
     empty table gives no rows. Other columns of ``docs`` are not read.
     """

@@ -384,6 +384,18 @@ def test_quality(spark, docs, rows, empty):
     assert quality.drop_rejected(docs, labels).columns == docs.columns
 
 
+def test_quality_reads_metadata(spark):
+    """Labels that only n_chars, or only a null text, tell."""
+    llm.ship(spark)
+    for tell in ("n_chars", "null"):
+        rows = [(k, None if tell == "null" and k % 2 else "" if tell == "null" else "same words here", 9000 if tell == "n_chars" and k % 2 else None if k % 8 == 0 else 10) for k in range(600)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+        labels = spark.createDataFrame([(k, k % 2, 0) for k in range(600)], "doc_id long, quality int, toxic int")
+        got = quality.classify(docs, labels, 0.5).collect()
+        assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.95
+    assert quality.classify(docs.drop("n_chars"), labels).count() == 600
+
+
 def test_factorisation_machine_learns_pairs():
     """An exclusive or of two words, which no linear model can tell."""
     rng = np.random.default_rng(0)
