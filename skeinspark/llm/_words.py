@@ -8,6 +8,7 @@ longer than that is a slice of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +23,13 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
-_P = 0x9E3779B97F4A7C15
-_P_INVERSE = pow(_P, -1, 1 << 64)
-_SHINGLE = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)], dtype=U64)
-_powers: tuple[np.ndarray, np.ndarray] = (np.zeros(0, U64), np.zeros(0, U64))
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+#: Bytes of a span that are hashed in 8-byte steps; longer ones go to a library's hash.
+_STEPPED = 64
+#: Numbers hashed at once, so that they stay in a core's cache.
+_BLOCK = 1 << 13
+#: Odd numbers of the hashes.
+_A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA24BAED4963EE407)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,22 +42,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, SLICE + SLICE // 4)
-        up, down = np.full(size, _P, U64), np.full(size, _P_INVERSE, U64)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up), np.cumprod(down)
-    return _powers
-
-
-def forget_powers() -> None:
-    global _powers
-    _powers = (np.zeros(0, U64), np.zeros(0, U64))
-
-
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes and the offsets (one more than rows) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -100,14 +88,39 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of ``data`` on as an integer; zeros follow its end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
+def _span_hashes(view: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    size = end - start
+    n = size.astype(U64)
+    h = mix((view[start] & MASKS[np.minimum(size, 8)]) ^ (n * _C))
+    long = np.flatnonzero(size > 8)
+    a, b, live = h[long], h[long] * _B + n[long], np.flatnonzero(size[long] <= _STEPPED)
+    chained = live
+    for k in range(8, _STEPPED, 8):
+        if not len(live):
+            break
+        at, left = start[long[live]] + k, size[long[live]] - k
+        x = view[at] & MASKS[np.minimum(left, 8)]
+        a[live], b[live] = mix(a[live] ^ x), mix((b[live] ^ (b[live] >> U64(29))) + x * _A)
+        live = live[left > 8]
+    h[long[chained]] = mix(a[chained] * _C ^ b[chained])
+    for k in np.flatnonzero(size > _STEPPED).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
+    return h
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, by one prefix sum over all bytes."""
-    if not len(start):
-        return np.zeros(0, U64)
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+    """64-bit hashes of byte spans. Spans of up to 8 bytes of one length never meet; of longer ones two chains are folded."""
+    view, out = eights(data), np.empty(len(start), U64)
+    for lo in range(0, len(start), _BLOCK):
+        out[lo : lo + _BLOCK] = _span_hashes(view, data, start[lo : lo + _BLOCK], end[lo : lo + _BLOCK])
+    return out
 
 
 def words(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> Words:
@@ -125,15 +138,28 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> Words:
     return Words(data, starts, ends, span_hashes(data, starts, ends), row, first)
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes, in their order."""
+    return mix(mix(a + _A) * _B ^ b)
+
+
+def _gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    if k == 1:
+        return mix(h)
+    half = k // 2
+    part = _gram_hashes(h, half)
+    out = joined(part[: len(part) - half], part[half:])
+    return out if k == 2 * half else joined(out[:-1], h[k - 1 :])
+
+
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all ``k`` neighbours in ``h``; empty where ``h`` is shorter."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, U64)
-    out = h[:n] * _SHINGLE[0]
-    for j in range(1, k):
-        out += h[j : j + n] * _SHINGLE[j]
-    return mix(out)
+    """Hashes of all ``k`` neighbours in ``h``, made of those of half as many; empty where ``h`` is shorter."""
+    n = max(0, len(h) - k + 1)
+    out = np.empty(n, U64)
+    step = max(_BLOCK, k)
+    for lo in range(0, n, step):
+        out[lo : lo + step] = _gram_hashes(h[lo : lo + step + k - 1], k)
+    return out
 
 
 def shingle_sets(w: Words, k: int = 5) -> Iterator[np.ndarray]:
@@ -149,6 +175,6 @@ def shingle_sets(w: Words, k: int = 5) -> Iterator[np.ndarray]:
             np.not_equal(s[1:], s[:-1], out=keep[1:])
             yield s[keep]
         elif b > a:
-            yield mix((w.hash[a:b] * _SHINGLE[: b - a]).sum(keepdims=True, dtype=U64) + U64(b - a))
+            yield mix(gram_hashes(w.hash[a:b], b - a) + U64(b - a))
         else:
             yield np.zeros(0, U64)

@@ -7,7 +7,6 @@ after the other into sequences of fixed length. Only the last sequence has paddi
 
 from __future__ import annotations
 
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +14,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import partitions, stage, tidy
+from ._shared import partitions, settled, stage, tidy
 from ._words import U64, mix, slices, words
 from .bpe import AT_ONCE, default_vocabulary, encoder
 
 #: Tokens of a sequence, and the id that ends each document.
 LENGTH, END = 2048, 1
 DIMENSIONS, BITS, PROJECTIONS = 4, 10, 16
+#: Bits of a place, tokens of a range of the curve (about 100 MB), and sums of tokens at most that the driver holds at once.
+PLACE_BITS, PER_RANGE, CELLS = 60, 64_000_000, 1 << 16
+#: Tokens that a row counts for besides its own where ranges are made.
+ROW = 256
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -87,12 +90,45 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                     [batch.column("doc_id")[lo:hi], pa.array(key << 20, pa.int64()), pa.array(np.diff(bound) + 1, pa.int64()), pa.array(blocks, pa.binary())],
                     ["doc_id", "place", "n_tokens", "ids"],
                 )
-        tool.forget()  # workers live on
 
     part = F.shiftrightunsigned(F.xxhash64("doc_id", "n_tokens"), 44)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, place long, n_tokens long, ids binary").withColumn("place", F.col("place") + part)
 
 
+def _ranged(rows: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """``rows`` with range and base, and the number of ranges: stretches of the curve of about equal tokens and rows, and the tokens before each.
+
+    Tokens and rows are counted by the first 16 bits of places, and cells with more than a
+    range's share again by further bits: at most ``CELLS`` counts each, however large the table.
+    """
+    spark = rows.sparkSession
+
+    def counts(df, cell):
+        return {r["cell"]: (r["t"], r["t"] + ROW * r["n"]) for r in df.groupBy(cell.alias("cell")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
+
+    top = F.shiftright("place", PLACE_BITS - 16)
+    held = counts(rows, top)
+    total = sum(w for _, w in held.values())
+    share = max(1, -(-total // max(least, total // PER_RANGE + 1)))
+    heavy = sorted(c for c, (_, w) in held.items() if w > share)
+    deeper = (CELLS // max(1, len(heavy))).bit_length() - 1
+    split = rows.join(F.broadcast(spark.createDataFrame([(c,) for c in heavy], "top long")), top == F.col("top"), "left")
+    low = F.when(F.col("top").isNotNull(), F.shiftright("place", PLACE_BITS - 16 - deeper).bitwiseAND(F.lit((1 << deeper) - 1))).otherwise(F.lit(0))
+    cell = F.shiftleft(top, 16) + low
+    fine = {c << 16: v for c, v in held.items() if v[1] <= share}
+    if heavy:
+        fine |= counts(split.filter("top is not null"), cell)
+    told, tokens, weight, base = [], 0, 0, {}
+    for c in sorted(fine):
+        k = weight // share
+        told.append((c, k, base.setdefault(k, tokens)))
+        tokens, weight = tokens + fine[c][0], weight + fine[c][1]
+    table = spark.createDataFrame(told, "cell long, range long, base long")
+    placed = split.withColumn("cell", cell).join(F.broadcast(table), "cell")
+    return placed.select(*rows.columns, F.col("range").cast("int").alias("range"), "base"), weight // share + 1
+
+
+@settled
 def pack_documents(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
     """Pieces of sequences of ``length`` tokens: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
@@ -104,36 +140,18 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, path: str | None = Non
     path = path or default_vocabulary()
     spark = docs.sparkSession
     rows = stage(tokenised(docs, path), "tokens")
-    total = rows.agg(F.sum("n_tokens").alias("t")).first()["t"] or 0
-    # Ranges of the curve with about equal numbers of documents, from quantiles of a narrow column.
-    parts = max(partitions(spark), total // 64_000_000 + 1)
-    cuts = rows.agg(F.percentile_approx("place", [k / parts for k in range(1, parts)], 100 * parts).alias("q")).first()["q"] if parts > 1 else None
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    placed, ranges = _ranged(rows, partitions(spark))
     small = len(encoder(path).token_bytes) <= 1 << 16
 
-    @tidy
-    def ranged(batches):
-        for batch in batches:
-            place = batch.column("place").to_numpy()
-            yield batch.append_column("range", pa.array(np.searchsorted(cuts, place, "right"), pa.int32()))
-
-    def with_range(df):
-        return df.mapInArrow(ranged, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", range int")
-
-    held = {r["range"]: r["t"] for r in with_range(rows.select("place", "n_tokens")).groupBy("range").agg(F.sum("n_tokens").alias("t")).collect()}
-    base, before = {}, 0
-    for k in range(len(cuts) + 1):
-        base[k], before = before, before + held.get(k, 0)
-
     @tidy
     def pieces(batches):
         expand = zstandard.ZstdDecompressor()
         at, current = 0, None
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
-            for doc, r, n, block in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "range", "n_tokens", "ids"))):
+            for doc, r, base, n, block in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "range", "base", "n_tokens", "ids"))):
                 if r != current:
-                    at, current = base[r], r
+                    at, current = base, r
                 ids = np.frombuffer(expand.decompress(block), "<u2" if small else "<u4").astype("<u4")
                 start = 0
                 while start < n:
@@ -145,7 +163,7 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, path: str | None = Non
                 at += n
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    sorted_rows = with_range(rows).repartition(parts, "range").sortWithinPartitions("range", "place", "doc_id", "n_tokens")
+    sorted_rows = placed.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "place", "doc_id", "n_tokens")
     return sorted_rows.mapInArrow(pieces, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
