@@ -7,6 +7,8 @@ import contextlib
 import ctypes
 import sys
 import uuid
+from contextvars import ContextVar
+from functools import wraps
 from urllib.parse import urlparse
 
 import numpy as np
@@ -16,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
+#: Folders that stay to the end of the process.
+_lasting: dict[str, SparkSession] = {}
+_scope: ContextVar[list[str] | None] = ContextVar("scratch folders of the running function", default=None)
 
 #: Of the C library's mallopt: its names for the threshold of own mappings, for trimming and for arenas.
 _M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD, _M_ARENA_MAX = -1, -3, -8
@@ -26,7 +31,7 @@ def return_memory() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no mallopt
         libc = ctypes.CDLL(None)
-        for name, value in ((_M_MMAP_THRESHOLD, 1 << 20), (_M_TRIM_THRESHOLD, 4 << 20), (_M_ARENA_MAX, 2)):
+        for name, value in ((_M_MMAP_THRESHOLD, 4 << 20), (_M_TRIM_THRESHOLD, 8 << 20), (_M_ARENA_MAX, 2)):
             libc.mallopt(name, value)
 
 
@@ -46,27 +51,76 @@ def tidy(run):
 
 
 def release() -> None:
-    from . import _words
-
     if bpe := sys.modules.get(f"{__package__}.bpe"):
         bpe.encoder.cache_clear()
-    _words.forget_powers()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``; a default only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The cluster's shared folder, from ``spark.checkpoint.dir``; a default only where that is unset and Spark runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (root or "file:///tmp/checkpoints").rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder; removed at exit or by ``sweep``."""
+    """A new folder name under the shared folder; removed by ``settled`` or ``discard`` when it is no longer read, at the latest at exit."""
     path = f"{shared_root(spark)}/skein-{name}-{uuid.uuid4().hex[:12]}"
     _made[path] = spark
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     return path
 
 
+def read_by(df: DataFrame) -> set[str]:
+    """The scratch folders that a frame reads."""
+    files = df.inputFiles()
+    names = {part for f in files for part in urlparse(f).path.split("/") if part.startswith("skein-")}
+    return {p for p in list(_made) if p.rpartition("/")[2] in names}
+
+
+def settled(function):
+    """For a function that returns a frame: when it is done, only those of its scratch folders stay that the frame reads."""
+
+    @wraps(function)
+    def run(*args, **named):
+        token = _scope.set([])
+        try:
+            out = function(*args, **named)
+        finally:
+            made = _scope.get()
+            _scope.reset(token)
+        needed = read_by(out)
+        for path in made:
+            if path not in needed:
+                forget(path)
+            elif (outer := _scope.get()) is not None:
+                outer.append(path)
+        return out
+
+    return run
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the scratch folders that a frame reads, when its rows have been written or are no longer wanted."""
+    for path in read_by(df):
+        forget(path)
+
+
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession, size: str = "8m"):
+    """While jobs run within, Python workers get at most ``size`` of texts at once; afterwards the session is as it was."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def local_path(path: str) -> str:
     """The mounted path of a shared-folder URI; memory mapping needs one."""
     url = urlparse(path)
@@ -91,24 +145,26 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
 
 
 def sweep() -> None:
-    """Remove all scratch tables made so far. Only safe when no frame that reads them is still wanted."""
-    for path, spark in list(_made.items()):
+    """Remove all scratch folders made so far. Only safe when no frame that reads them is still wanted."""
+    for path in list(_made):
         with contextlib.suppress(Exception):
-            delete(spark, path)
-        _made.pop(path, None)
-
-
-def made() -> list[str]:
-    return list(_made)
+            forget(path)
 
 
 def forget(path: str) -> None:
-    """Remove one scratch table, which no frame may still want."""
+    """Remove one scratch folder, which no frame may still want."""
     if spark := _made.pop(path, None):
         delete(spark, path)
 
 
-atexit.register(sweep)
+def _leave() -> None:
+    sweep()
+    for path, spark in _lasting.items():
+        with contextlib.suppress(Exception):
+            delete(spark, path)
+
+
+atexit.register(_leave)
 
 
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -183,24 +239,35 @@ def join_by_key(rows: DataFrame, facts: DataFrame, key: str, count: str) -> Data
     return near.unionByName(rest)
 
 
-#: Bits of a table of marks: 8 MB. Where more marks meet, more rows are looked at; results stay the same.
-TABLE_BITS = 1 << 26
+#: Bits of a table of marks: 8 MB, and where there are more marks up to 64 MB. Where even so more marks meet, more rows are looked at; results stay the same.
+TABLE_BITS, MOST_BITS = 1 << 26, 1 << 29
 
 
-def bit_table(places: DataFrame) -> np.ndarray:
-    """A table of ``TABLE_BITS`` bits with those in column ``at`` set: at most 2048 rows of 4 KB reach the driver."""
-    place = F.col("at") + 1  # bitmap functions count from 1
-    table = np.zeros(TABLE_BITS // 8, np.uint8)
-    for r in places.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect():
+def bit_table(marks: DataFrame) -> np.ndarray:
+    """A table with the bits of column ``mark`` (longs, well mixed in the low bits) set, about eight bits for each mark: at most 16,384 rows of 4 KB reach the driver."""
+    marks = stage(marks, "marks")
+    bits = min(MOST_BITS, max(TABLE_BITS, 1 << (8 * marks.count() - 1).bit_length()))
+    place = F.col("mark").bitwiseAND(F.lit(bits - 1)) + 1  # bitmap functions count from 1
+    table = np.zeros(bits // 8, np.uint8)
+    for r in marks.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect():
         table[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
     return table
 
 
-def has_bits(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    at = at.astype(np.int64)
+def has_bits(table: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    at = marks.astype(np.uint64).view(np.int64) & (8 * len(table) - 1)
     return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def dealt(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows as one packed block for each bucket, in the order they have."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [c[order] for c in columns]
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    out = [pack(*(c[a:b] for c in columns)) for a, b in zip(cut, np.append(cut[1:], len(bucket)))]
+    return pa.record_batch([pa.array(bucket[cut], pa.int32()), pa.array(out, pa.binary())], ["bucket", "block"])
+
+
 def split_by_marks(rows: DataFrame, key: str, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows`` whose long ``key`` is surely not in ``marked`` (a frame with that one column), and the others.
 

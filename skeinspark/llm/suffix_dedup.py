@@ -4,16 +4,24 @@ A window of ``MIN_WORDS`` words selects one anchor, the least hash among its ``G
 grams (a minimiser), so equal windows select equal anchors at equal places. Only suffixes
 at anchors are retained.
 
-1. Anchor hashes of all texts are sorted and compared with their neighbours; hashes that
-   stand alone cannot lie in a repeated passage.
-2. Suffixes at the other anchors are extended left and right to the windows that selected
-   them; these are sorted within their anchor's bucket and compared with neighbours. Equal
-   windows are repeats, and adjoining ones merge to maximal matches.
+1. Anchor hashes of all texts are counted; hashes that stand alone cannot lie in a
+   repeated passage, and their suffixes are dropped.
+2. The other suffixes, with the words that their windows span, are gathered by their
+   leading words (the anchor), sorted by the words that follow it and by those that lead to
+   it, and compared with their neighbours in both orders. That tells for each depth to the
+   right and to the left which suffixes agree; windows that agree in both are repeats, and
+   adjoining ones merge to maximal matches.
 3. All but the first occurrence, in order of doc_id and place, are marked.
+
+Suffixes that meet in one task are compared there, and only windows that may still be a
+first occurrence go on, so that a passage in a third of all rows is a few rows for each task.
+A very long text is a slice of its own; nothing of it is left out.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,7 +29,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import TABLE_BITS, bit_table, bucket_count, has_bits, pack, stage, text_bytes, tidy, unpack
+from ._shared import bit_table, bucket_count, dealt, has_bits, pack, ragged, settled, stage, text_bytes, tidy, unpack
 from ._words import U64, gram_hashes, mix, slices, words
 
 #: Words of a repeated passage at least, and of the grams that anchors are chosen from.
@@ -45,17 +53,8 @@ def anchors(w, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[np.ndarray
     return at, place, grams[place]
 
 
-def _blocks(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows dealt to buckets, in the order they have."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, columns = bucket[order], [c[order] for c in columns]
-    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-    out = [pack(*(c[a:b] for c in columns)) for a, b in zip(cut, np.append(cut[1:], len(bucket)))]
-    return pa.record_batch([pa.array(bucket[cut], pa.int32()), pa.array(out, pa.binary())], ["bucket", "block"])
-
-
 def repeated_anchors(texts: DataFrame, buckets: int, min_words: int, gram: int) -> np.ndarray:
-    """The table of anchors that occur more than once, of fixed size."""
+    """The table of anchors that occur more than once, of bounded size."""
 
     @tidy
     def emit(batches):
@@ -63,7 +62,7 @@ def repeated_anchors(texts: DataFrame, buckets: int, min_words: int, gram: int)
 
         def flush():
             h, c = np.unique(np.concatenate(held), return_counts=True)
-            return _blocks((mix(h) % U64(buckets)).astype(np.int64), [h, np.minimum(c, 255).astype(np.uint8)])
+            return dealt((mix(h) % U64(buckets)).astype(np.int64), [h, np.minimum(c, 255).astype(np.uint8)])
 
         for batch in batches:
             for _, _, data, offs in slices(batch.column("text")):
@@ -83,9 +82,9 @@ def repeated_anchors(texts: DataFrame, buckets: int, min_words: int, gram: int)
         h, c = h[order], c[order]
         first = np.flatnonzero(np.diff(h, prepend=h[0] + U64(1)) != 0)
         many = np.add.reduceat(c.astype(np.int64), first) > 1
-        return pa.table({"at": pa.array((mix(h[first[many]]) % U64(TABLE_BITS)).astype(np.int64))})
+        return pa.table({"mark": pa.array(mix(h[first[many]]).view(np.int64))})
 
-    return bit_table(texts.mapInArrow(emit, "bucket int, block binary").groupBy("bucket").applyInArrow(count, "at long"))
+    return bit_table(texts.mapInArrow(emit, "bucket int, block binary").groupBy("bucket").applyInArrow(count, "mark long"))
 
 
 def _intervals(key, start, other, min_words):
@@ -99,6 +98,76 @@ def _intervals(key, start, other, min_words):
     return key[first], start[first], start[last] + min_words, np.minimum.reduceat(other, first)
 
 
+@dataclass
+class Suffixes:
+    """Suffixes at anchors: the anchor's hash, an order of rows, the anchor's word in the row, the first and the last window that chose it, and the words of these windows, one suffix after the other."""
+
+    anchor: np.ndarray
+    row: np.ndarray
+    pos: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    words: np.ndarray
+
+    def spans(self, min_words: int) -> np.ndarray:
+        return self.hi - self.lo + min_words
+
+    def first(self, min_words: int) -> np.ndarray:
+        n = self.spans(min_words)
+        return np.cumsum(n) - n
+
+    def take(self, k: np.ndarray, min_words: int) -> Suffixes:
+        at = ragged(self.first(min_words)[k], self.spans(min_words)[k])
+        return Suffixes(self.anchor[k], self.row[k], self.pos[k], self.lo[k], self.hi[k], self.words[at])
+
+    @staticmethod
+    def joined(parts: list[Suffixes]) -> Suffixes:
+        return Suffixes(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("anchor", "row", "pos", "lo", "hi", "words")))
+
+
+def _sorted_depths(anchor: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Suffixes sorted by anchor and words and compared with their neighbours: for each depth, the number of the class that agrees so far."""
+    keys = np.concatenate([anchor[:, None], words], 1).astype(">u8")
+    order = np.argsort(keys.view(f"S{8 * keys.shape[1]}")[:, 0], kind="stable")
+    keys = keys[order]
+    common = np.zeros(len(keys), np.int64)  # with the neighbour before
+    differ = keys[1:] != keys[:-1]
+    common[1:] = np.where(differ.any(1), differ.argmax(1), keys.shape[1])
+    classes = np.empty((keys.shape[1], len(keys)), np.int32)
+    for depth in range(keys.shape[1]):
+        classes[depth, order] = np.cumsum(common <= depth)
+    return classes
+
+
+def repeats_among(s: Suffixes, min_words: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of suffixes that occur before, as number of the suffix, offset of its anchor in the window, and row of the first occurrence."""
+    room = min_words - gram
+    _, code, count = np.unique(s.anchor, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(count[code] > 1)
+    if not len(some):
+        return some, some, some
+    first, depth = s.first(min_words)[some], np.arange(room)
+    anchor, row, pos, lo, hi = s.anchor[some], s.row[some], s.pos[some], s.lo[some], s.hi[some]
+    right, left = (pos + gram - lo)[:, None] + depth, (pos - 1 - lo)[:, None] - depth
+    after = np.where(right < (hi - lo + min_words)[:, None], s.words[np.minimum(first[:, None] + right, len(s.words) - 1)], U64(0))
+    before = np.where(left >= 0, s.words[np.maximum(first[:, None] + left, 0)], U64(0))
+    after, before = _sorted_depths(anchor, after), _sorted_depths(anchor, before)
+    out: list[list[np.ndarray]] = [[], [], []]
+    for d in range(room + 1):
+        has = np.flatnonzero((d >= pos - hi) & (d <= pos - lo))
+        # Equal words on both sides: equal windows. The first in order of rows and places stays.
+        same = before[d, has].astype(np.int64) << 32 | after[room - d, has]
+        order = np.lexsort((pos[has], row[has], same))
+        has, same = has[order], same[order]
+        new = np.ones(len(has), bool)
+        new[1:] = same[1:] != same[:-1]
+        origin = has[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(has) else has
+        told = (row[has] != row[origin]) | (pos[has] >= pos[origin] + min_words)
+        for c, v in zip(out, (some[has[told]], np.full(int(told.sum()), d), row[origin[told]])):
+            c.append(v)
+    return tuple(np.concatenate(c) for c in out)
+
+
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """Intervals of words to remove: key (of the row), start, stop and an earlier document with the same words.
 
@@ -109,88 +178,110 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GR
     buckets = bucket_count(spark, size)
     table = spark.sparkContext.broadcast(repeated_anchors(docs.select("text"), buckets, min_words, gram))
 
+    def found(s: Suffixes, doc: np.ndarray, key: np.ndarray):
+        """Merged repeats: key, start, stop, other; and the told windows themselves. ``doc`` and ``key`` are of rows."""
+        k, d, origin = repeats_among(s, min_words, gram)
+        start = s.pos[k] - d
+        order = np.lexsort((start, s.row[k]))
+        return _intervals(key[s.row[k[order]]], start[order], doc[origin[order]], min_words), k, start
+
+    def numbered(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of rows in order of doc and key, repeated rows alike; doc and key by number."""
+        order = np.lexsort((key, doc))
+        new = np.ones(len(order), bool)
+        new[1:] = (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new) - 1
+        return rank, doc[order[new]], key[order[new]]
+
+    def distinct(s: Suffixes) -> Suffixes:
+        """Repeated rows have the same suffixes; one of each stays, with all windows that any of them has."""
+        order = np.lexsort((s.lo - s.hi, s.pos, s.row))
+        new = np.ones(len(order), bool)
+        new[1:] = (s.row[order][1:] != s.row[order][:-1]) | (s.pos[order][1:] != s.pos[order][:-1])
+        return s if new.all() else s.take(order[new], min_words)
+
     @tidy
     def emit(batches):
         held, names, n, docs_held = [], [], 0, 0
 
         def flush():
-            """Repeats among the rows held are told at once; of each window only what may be a first occurrence goes on."""
             doc, key = (np.concatenate(c) for c in zip(*names))
-            order = np.lexsort((key, doc))
-            rank = np.empty(len(order), np.int64)
-            same = np.zeros(len(order), bool)
-            same[1:] = (doc[order][1:] == doc[order][:-1]) & (key[order][1:] == key[order][:-1])
-            rank[order] = np.cumsum(~same) - 1  # repeated rows are one document
-            doc_of, key_of = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-            doc_of[rank], key_of[rank] = doc, key
-            wh, ah, d, pos = (np.concatenate(c) for c in zip(*held))
-            d = rank[d]
-            order = np.lexsort((pos, d, wh))
-            wh, ah, d, pos = wh[order], ah[order], d[order], pos[order]
-            new = np.ones(len(wh), bool)
-            new[1:] = (wh[1:] != wh[:-1]) | (d[1:] != d[:-1]) | (pos[1:] != pos[:-1])
-            wh, ah, d, pos = wh[new], ah[new], d[new], pos[new]
-            new = np.ones(len(wh), bool)
-            new[1:] = wh[1:] != wh[:-1]
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            told = (d != d[first]) | (pos >= pos[first] + min_words)
-            rows = np.flatnonzero(told)
-            rows = rows[np.lexsort((pos[rows], d[rows]))]
-            k, a, b, o = _intervals(key_of[d[rows]], pos[rows], doc_of[d[first[rows]]], min_words)
+            rank, doc, key = numbered(doc, key)
+            s = Suffixes.joined(held)
+            s.row = rank[s.row]
+            s = distinct(s)
+            (k, a, b, o), told, start = found(s, doc, key)
             if len(k):
-                yield _blocks((mix(k.view(U64)) % U64(buckets)).astype(np.int64), [np.full(len(k), 1, np.uint8), k, a.astype(np.uint32), b.astype(np.uint32), o])
-            rest = np.flatnonzero(~told)
-            bucket = (mix(ah[rest]) % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rest, bucket = rest[order], bucket[order]
+                yield dealt((mix(k.view(U64)) % U64(buckets)).astype(np.int64), [np.full(len(k), 1, np.uint8), k, a.astype(np.uint32), b.astype(np.uint32), o])
+            # Of each suffix go on the windows from the first to the last that was not told here.
+            size = s.hi - s.lo + 1
+            begin = np.cumsum(size) - size
+            left = np.ones(int(size.sum()), bool)
+            left[begin[told] + start - s.lo[told]] = False
+            owner, at = np.repeat(np.arange(len(size)), size)[left], ragged(s.lo, size)[left]
+            rest, first = np.unique(owner, return_index=True)
+            if not len(rest):
+                return
+            lo, hi = at[first], at[np.append(first[1:], len(at)) - 1]
+            words_at = ragged(s.first(min_words)[rest] + lo - s.lo[rest], hi - lo + min_words)
+            s = Suffixes(s.anchor[rest], s.row[rest], s.pos[rest], lo, hi, s.words[words_at])
+            bucket = (mix(s.anchor) % U64(buckets)).astype(np.int64)
+            s, bucket = s.take(np.argsort(bucket, kind="stable"), min_words), np.sort(bucket)
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            out = []
-            for x, y in zip(cut, np.append(cut[1:], len(bucket))):
-                r = rest[x:y]
-                who, ref = np.unique(d[r], return_inverse=True)
-                out.append(pack(np.full(1, 0, np.uint8), wh[r], ref.astype(np.uint32), pos[r].astype(np.uint32), doc_of[who], key_of[who]))
-            if out:
-                yield pa.record_batch([pa.array(bucket[cut], pa.int32()), pa.array(out, pa.binary())], ["bucket", "block"])
+            ends, word_ends = np.append(cut[1:], len(bucket)), np.append(s.first(min_words)[cut[1:]], len(s.words))
+            out, w0 = [], 0
+            for x, y, w1 in zip(cut.tolist(), ends.tolist(), word_ends.tolist()):
+                who, ref = np.unique(s.row[x:y], return_inverse=True)
+                table, code = np.unique(s.words[w0:w1], return_inverse=True)
+                small = np.uint8 if len(table) <= 1 << 8 else np.uint16 if len(table) <= 1 << 16 else np.uint32
+                out.append(pack(np.full(1, 0, np.uint8), s.anchor[x:y], ref.astype(np.uint32), *(c[x:y].astype(np.uint32) for c in (s.pos, s.lo)), (s.hi - s.lo)[x:y].astype(np.uint16), doc[who], key[who], table, code.astype(small)))
+                w0 = w1
+            yield pa.record_batch([pa.array(bucket[cut], pa.int32()), pa.array(out, pa.binary())], ["bucket", "block"])
 
         for batch in batches:
             doc = batch.column("doc_id").fill_null(_LAST).to_numpy()
             key = batch.column("key").to_numpy()
             for lo, hi, data, offs in slices(batch.column("text")):
                 w = words(data, offs)
-                at, _, h = anchors(w, min_words, gram)
-                again = has_bits(table.value, mix(h) % U64(TABLE_BITS))
-                at, h = at[again], h[again]
+                at, place, h = anchors(w, min_words, gram)
+                again = has_bits(table.value, mix(h))
+                at, place, h = at[again], place[again], h[again]
                 if len(at):
-                    windows = gram_hashes(w.hash, min_words)[at]
-                    held.append((windows, h, w.row[at] + docs_held, at - w.first[w.row[at]]))
+                    # The windows that chose a suffix follow each other.
+                    first = np.flatnonzero(np.diff(place, prepend=-1))
+                    last = np.append(first[1:], len(at)) - 1
+                    row = w.row[at[first]]
+                    begin = w.first[row]
+                    span = w.hash[ragged(at[first], at[last] - at[first] + min_words)]
+                    held.append(Suffixes(h[first], row + docs_held, place[first] - begin, at[first] - begin, at[last] - begin, span))
                     names.append((doc[lo:hi], key[lo:hi]))
                     docs_held += hi - lo
                     n += len(at)
-                if n > 1 << 20:
+                if n > 1 << 19:
                     yield from flush()
                     held, names, n, docs_held = [], [], 0, 0
         if n:
             yield from flush()
 
     def settle(t: pa.Table) -> pa.Table:
-        done, open_ = [], []
+        done, open_, names, held = [], [], [], 0
         for b in t.column("block"):
             kind, *cols = unpack(b.as_py())
             if kind[0]:
                 done.append([cols[0], cols[1].astype(np.int64), cols[2].astype(np.int64), cols[3]])
             else:
-                wh, ref, pos, doc, key = cols
-                open_.append((wh, doc[ref], key[ref], pos.astype(np.int64)))
+                anchor, ref, pos, lo, more, doc, key, table, code = cols
+                lo = lo.astype(np.int64)
+                open_.append(Suffixes(anchor, ref.astype(np.int64) + held, pos.astype(np.int64), lo, lo + more, table[code]))
+                names.append((doc, key))
+                held += len(doc)
         if open_:
-            wh, doc, key, pos = (np.concatenate(c) for c in zip(*open_))
-            order = np.lexsort((pos, key, doc, wh))
-            wh, doc, key, pos = wh[order], doc[order], key[order], pos[order]
-            new = np.ones(len(wh), bool)
-            new[1:] = wh[1:] != wh[:-1]
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            rows = np.flatnonzero((doc != doc[first]) | (key != key[first]) | (pos >= pos[first] + min_words))
-            rows = rows[np.lexsort((pos[rows], key[rows]))]
-            done.append(_intervals(key[rows], pos[rows], doc[first[rows]], min_words))
+            doc, key = (np.concatenate(c) for c in zip(*names))
+            rank, doc, key = numbered(doc, key)
+            s = Suffixes.joined(open_)
+            s.row = rank[s.row]
+            done.append(found(s, doc, key)[0])
         k, a, b, o = (np.concatenate(c) for c in zip(*done))
         return pa.table({"key": pa.array(k, pa.int64()), "start": pa.array(a, pa.int32()), "stop": pa.array(b, pa.int32()), "other": pa.array(o, pa.int64())})
 
@@ -201,6 +292,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
+@settled
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """One row per span of words that repeats an earlier one: doc_id, start, stop (words), other_doc_id.
 
@@ -235,6 +327,7 @@ def _union(found: DataFrame) -> DataFrame:
     return merged.mapInArrow(run, "key long, start int, stop int, other long")
 
 
+@settled
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """``docs`` with the spans of ``repeated_spans`` cut out of ``text``; all other columns and rows stay.
 
@@ -244,11 +337,11 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
     spark = docs.sparkSession
     rows = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     spans = stage(_union(repeated_windows(rows.select(F.col("__key").alias("key"), "doc_id", "text"), min_words, gram)), "spans")
-    maybe = spark.sparkContext.broadcast(bit_table(spans.select(F.pmod("key", F.lit(TABLE_BITS)).alias("at"))))
+    maybe = spark.sparkContext.broadcast(bit_table(spans.select(F.col("key").alias("mark"))))
 
     @F.pandas_udf("boolean")
     def listed(key: pd.Series) -> pd.Series:
-        return pd.Series(has_bits(maybe.value, key.to_numpy() % TABLE_BITS))
+        return pd.Series(has_bits(maybe.value, key.to_numpy()))
 
     told = rows.withColumn("__maybe", listed("__key"))
     lists = spans.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
