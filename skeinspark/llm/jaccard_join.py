@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._shared import bucket_count, join_by_key, pack, partitions, split_by_marks, stage, text_bytes, tidy, unpack
+from ._shared import bit_table, bucket_count, dealt, has_bits, join_by_key, pack, partitions, settled, split_by_marks, stage, text_bytes, tidy, unpack
 from ._words import U64, mix, shingle_sets, slices, words
 
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE, PERCENT = 5, 75
-#: Classes under a token from which it counts as frequent, bits of the table of frequent tokens (8 MB), classes in a block of a run, and in a block of a component whose links are counted.
-FREQUENT, TABLE_BITS, BLOCK, LINKS = 32, 1 << 26, 1024, 256
+#: Classes under a token from which it counts as frequent, classes in a block of a run, and in a block of a component whose links are counted, and pairs of one class that are verified in one place.
+FREQUENT, BLOCK, LINKS, HUB = 32, 1024, 256, 128
 _NO_ID = 1 << 62
 _FANOUT = 8
 
@@ -141,21 +141,18 @@ class SignatureTree:
         return self.order[i], self.order[j], most
 
 
-def _packed(batches, buckets: int, per_doc, flush: int = 1 << 19):
-    """Runs ``per_doc(tokens) -> columns`` on the set of each new class and yields blocks by bucket of the first column."""
+def _packed(batches, buckets: int, per_doc, merge=lambda *columns: columns, flush: int = 1 << 19):
+    """Runs ``per_doc(tokens, key) -> columns`` on the set of each new class, ``merge`` on the columns of many, and yields blocks by bucket of the first column."""
     seen: set[int] = set()
     held: list[tuple] = []
     n = 0
 
     def blocks():
-        cols = [np.concatenate(c) for c in zip(*held)]
+        cols = merge(*(np.concatenate(c) for c in zip(*held)))
         held.clear()
-        bucket = (mix(cols[0]) % U64(buckets)).astype(np.int64)
-        order = np.lexsort((cols[0], bucket))
-        bucket, cols = bucket[order], [c[order] for c in cols]
-        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-        out = [pack(*(c[a:b] for c in cols)) for a, b in zip(cut, np.append(cut[1:], len(bucket)))]
-        return pa.record_batch([pa.array(bucket[cut], pa.int32()), pa.array(out, pa.binary())], ["bucket", "block"])
+        order = np.argsort(cols[0], kind="stable")
+        cols = [c[order] for c in cols]
+        return dealt((mix(cols[0]) % U64(buckets)).astype(np.int64), cols)
 
     for batch in batches:
         for _, _, data, offs in slices(batch.column("text")):
@@ -180,36 +177,30 @@ def _by_bucket(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.groupBy("bucket").applyInArrow(run, schema)
 
 
-def bit_table(places: DataFrame) -> np.ndarray:
-    """A table of ``TABLE_BITS`` bits with those in column ``at`` set: at most 2048 rows of 4 KB reach the driver."""
-    place = F.col("at") + 1  # bitmap functions count from 1
-    table = np.zeros(TABLE_BITS // 8, np.uint8)
-    for r in places.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect():
-        table[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
-    return table
-
-
 def frequent_tokens(texts: DataFrame, buckets: int, percent: int) -> np.ndarray:
-    """The table of tokens that stand in the prefixes of ``FREQUENT`` classes or more, of fixed size."""
+    """The table of tokens that stand in the prefixes of ``FREQUENT`` classes or more, of bounded size.
+
+    Each task counts before it sends, so that a token in all documents is one row for every few thousand of them.
+    """
 
     @tidy
     def emit(batches):
         def tokens_of(t, key):
             return (t[: prefix_length(len(t), percent)] >> U64(16),)
 
-        yield from _packed(batches, buckets, tokens_of)
-
-    def count(blocks):
-        t, c = np.unique(np.concatenate([b[0] for b in blocks]), return_counts=True)
-        return pa.record_batch([pa.array((t[c >= FREQUENT] % U64(TABLE_BITS)).astype(np.int64))], ["at"])
+        def counted(t):
+            t, c = np.unique(t, return_counts=True)
+            return t, c.astype(np.uint32)
 
-    found = _by_bucket(texts.mapInArrow(emit, "bucket int, block binary"), count, "at long")
-    return bit_table(found)
+        yield from _packed(batches, buckets, tokens_of, counted)
 
+    def count(blocks):
+        t, c = (np.concatenate(x) for x in zip(*blocks))
+        t, back = np.unique(t, return_inverse=True)
+        many = np.bincount(back, c) >= FREQUENT
+        return pa.record_batch([pa.array(t[many].view(np.int64))], ["mark"])
 
-def _has(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    at = at.astype(np.int64)
-    return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return bit_table(_by_bucket(texts.mapInArrow(emit, "bucket int, block binary"), count, "mark long"))
 
 
 def candidate_runs(texts: DataFrame, buckets: int, percent: int) -> DataFrame:
@@ -222,7 +213,7 @@ def candidate_runs(texts: DataFrame, buckets: int, percent: int) -> DataFrame:
     @tidy
     def emit(batches):
         def postings(t, key):
-            often = _has(table.value, (t >> U64(16)) % U64(TABLE_BITS))
+            often = has_bits(table.value, t >> U64(16))
             p = np.concatenate([t[~often], t[often]])[: prefix_length(len(t), percent)]
             return p >> U64(16), np.full(len(p), key, np.int64), np.full(len(p), len(t), np.uint32), np.arange(len(p), dtype=np.uint32)
 
@@ -334,8 +325,8 @@ def _tree_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
 
 
 def _sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """Key and tokens of the classes in ``keys`` (column k): sets are made again from texts, in 40 bits a token."""
-    wanted = texts.sparkSession.sparkContext.broadcast(bit_table(keys.select(F.expr(f"k & {TABLE_BITS - 1}L").alias("at"))))  # of fixed size
+    """Key and tokens of the classes in ``keys`` (column k): sets are made again from texts."""
+    wanted = texts.sparkSession.sparkContext.broadcast(bit_table(keys.select(F.col("k").alias("mark")).distinct()))  # of bounded size
 
     @tidy
     def emit(batches):
@@ -344,37 +335,55 @@ def _sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
             keys, sets = [], []
             for _, _, data, offs in slices(batch.column("text")):
                 for tokens in shingle_sets(words(data, offs), SHINGLE):
-                    if len(tokens) and (key := class_key(tokens)) not in seen and _has(wanted.value, np.array([key & (TABLE_BITS - 1)]))[0]:
+                    if len(tokens) and (key := class_key(tokens)) not in seen and has_bits(wanted.value, np.array([key]))[0]:
                         seen.add(key)
                         keys.append(key)
-                        sets.append(pack(tokens >> U64(24)))
+                        sets.append(pack(tokens))
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "tokens"])
 
     return stage(texts.mapInArrow(emit, "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens")), "sets", "none")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets link."""
-    sets = _sets(texts, pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))))
+    """The pairs whose sets link.
+
+    Of a pair the class of more pairs is its hub. A hub's pairs are dealt in parts of about
+    ``HUB``; its set goes to each part once, and the other classes' sets follow.
+    """
+    ends = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k")))
+    sets = _sets(texts, ends)
+    hubs = stage(ends.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HUB), "hubs")
+    told = pairs.join(hubs.select(F.col("k").alias("a"), F.col("n").alias("na")), "a", "left").join(hubs.select(F.col("k").alias("b"), F.col("n").alias("nb")), "b", "left").na.fill(0, ["na", "nb"])
+    first = F.col("na") >= F.col("nb")
+    parts = F.ceil(F.greatest("na", "nb") / HUB)
+    dealt_pairs = stage(
+        told.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), parts.alias("parts"))
+        .select("hub", F.pmod(F.xxhash64("other"), F.greatest("parts", F.lit(1))).alias("part"), "other"),
+        "dealt-pairs",
+    )
+    heads = dealt_pairs.select("hub", "part").distinct().join(sets.withColumnRenamed("key", "hub"), "hub").withColumn("other", F.lit(None).cast("long"))
+    rows = heads.unionByName(dealt_pairs.join(sets.withColumnRenamed("key", "other"), "other"))
 
     @tidy
     def check(batches):
+        hub, x = None, None
         for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            memo: tuple = (None, None)
-            for k, (a, x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist())):
-                if memo[0] != a:
-                    memo = (a, unpack(x)[0])
-                x, y = memo[1], unpack(y)[0]
+            a, b, ok = batch.column("hub").to_pylist(), batch.column("other").to_pylist(), np.zeros(batch.num_rows, bool)
+            for k, (h, o, raw) in enumerate(zip(a, b, batch.column("tokens"))):
+                y = unpack(raw.as_py())[0]
+                if o is None:  # the hub's own set comes before those of its part
+                    hub, x = h, y
+                    continue
+                assert hub == h
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 ok[k] = 100 * common >= percent * (len(both) - common)
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(ok)], ["a", "b", "ok"])
+            yield pa.record_batch([batch.column("hub"), batch.column("other"), pa.array(ok)], ["hub", "other", "ok"])
 
-    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
-    return stage(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long, ok boolean").filter("ok").select("a", "b"), "links")
+    placed = rows.select("hub", "part", "other", "tokens").repartition(4 * partitions(texts.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("other"))
+    found = placed.select("hub", "other", "tokens").mapInArrow(check, "hub long, other long, ok boolean").filter("ok")
+    return stage(found.select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b")), "links")
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -445,6 +454,7 @@ def _others(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return pairs.unionByName(counted).groupBy("key").agg(F.sum("others").alias("others"))
 
 
+@settled
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, links: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, and row (a hash of id and text).
 
@@ -488,8 +498,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, links: bool = False
 
     # Second round: runs that still hold more than one component.
     named = runs.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = named.groupBy("run").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("run")
-    left = stage(named.join(mixed, "run", "left_semi"), "mixed-runs")
+    named = stage(named, "named-runs")
+    mixed = named.groupBy("run").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("members")).filter("x != y").select("run", "members")
+    left = stage(join_by_key(named, stage(mixed, "mixed"), "run", "members"), "mixed-runs")
     # A run of several blocks becomes pairs of blocks.
     units = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.xxhash64("run", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "key", "place", (F.pmod(F.xxhash64("label"), F.lit(1 << 62))).alias("label")
@@ -511,9 +522,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, links: bool = False
         "row", "doc_id", "n_shingles", F.when(F.col("component_id") < _NO_ID, F.col("component_id")).alias("component_id"), *more_columns
     )
     alone = rows.filter("key is null").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in more_columns])
-    return linked.unionByName(alone)
+    return stage(linked.unionByName(alone), "near-duplicates")
 
 
+@settled
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id; rows without any id in their component stay."""
     found = near_duplicates(docs, percent)
