@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bucket_count, local_path, pack, scratch, stage, text_bytes, unpack
+from ._shared import bucket_count, dealt, local_path, pack, scratch, stage, text_bytes, unpack
 from ._words import U64, mix, slices, words
 from .quality import in_fold
 
@@ -26,6 +26,8 @@ BASE = 0.1
 #: Hash that stands for the end of a text in the list of words.
 _END = U64(0x5E1D0F7E47E2D15A)
 _FLUSH = 1 << 22
+#: Words whose ids fit half of a 64-bit key.
+MOST_WORDS = (1 << 32) - 1
 
 
 def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
@@ -33,14 +35,6 @@ def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
     return ((x >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
-def _deal(bucket: np.ndarray, buckets_columns: list[np.ndarray]) -> pa.RecordBatch:
-    order = np.argsort(bucket, kind="stable")
-    bucket, columns = bucket[order], [c[order] for c in buckets_columns]
-    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-    out = [pack(*(c[a:b] for c in columns)) for a, b in zip(cut, np.append(cut[1:], len(bucket)))]
-    return pa.record_batch([pa.array(bucket[cut], pa.int32()), pa.array(out, pa.binary())], ["bucket", "block"])
-
-
 def _sum_by(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct keys and sums of the columns."""
     order = np.argsort(keys, kind="stable")
@@ -99,6 +93,7 @@ class KneserNey:
     """Where the arrays are, and the numbers that hold for all words."""
 
     folder: str
+    kind: str
     words: int
     bigrams: int
     large: int
@@ -124,7 +119,7 @@ class KneserNey:
         uniform = 1 / (self.words + 1)
         if not self.types:
             return np.full(len(ids), uniform)
-        c = np.where(ids >= 0, self.array("contexts", "<u4")[np.maximum(ids, 0)], 0).astype(np.int64)
+        c = np.where(ids >= 0, self.array("contexts", self.kind)[np.maximum(ids, 0)], 0).astype(np.int64)
         d = np.array([0.0, *self.word_discount])[np.minimum(c, 3)]
         return (c - d) / self.types + self.word_spare * uniform
 
@@ -133,7 +128,7 @@ class KneserNey:
         total = np.where(ids == self.words, self.texts, self.array("count", "<i8")[np.minimum(ids, max(self.words - 1, 0))])
         left = np.zeros(len(ids))
         for k, name in enumerate(("once", "twice", "more")):
-            left += self.pair_discount[k] * self.array(name, "<u4")[ids]
+            left += self.pair_discount[k] * self.array(name, self.kind)[ids]
         return total, left / np.maximum(total, 1)
 
     def pair_count(self, mixed: np.ndarray) -> np.ndarray:
@@ -217,18 +212,19 @@ def train(docs: DataFrame, folds: int = 10) -> KneserNey:
     # Words.
     def count_words(batches):
         for h, c in held_sums(batches, lambda h, last, n: h):
-            yield _deal(_bucket(h, buckets), [h, c.astype(np.uint32)])
+            yield dealt(_bucket(h, buckets), [h, c.astype(np.uint32)])
 
     def sum_words(t: pa.Table) -> pa.Table:
         h, c = _sum_by(*blocks_of(t))
         return pa.table({"bucket": t.column("bucket")[:1], "n": pa.array([len(h)]), "total": pa.array([int(c.sum())]), "block": pa.array([pack(h, _narrow(c))], pa.binary())})
 
-    def laid_out(found: DataFrame, arrays: dict) -> tuple[list, int, dict]:
-        """Writes blocks of sorted buckets into whole arrays, each at its place."""
-        rows = sorted((r for r in found.drop("block").collect()), key=lambda r: r["bucket"])  # a row for each bucket
-        first, n = {}, 0
-        for r in rows:
-            first[r["bucket"]], n = n, n + r["n"]
+    def laid_out(found: DataFrame, arrays: dict) -> int:
+        """Writes blocks of sorted buckets into whole arrays, each at its place; the driver and each worker hold 8 bytes for a bucket of 12 MB."""
+        sizes = found.select("bucket", "n").toArrow()
+        first = np.zeros(buckets + 1, np.int64)
+        first[sizes.column("bucket").to_numpy() + 1] = sizes.column("n").to_numpy()
+        first = spark.sparkContext.broadcast(np.cumsum(first))
+        n = int(first.value[-1])
         for name, kind in arrays.items():
             _create(f"{folder}/{name}", kind, n)
 
@@ -238,17 +234,25 @@ def train(docs: DataFrame, folds: int = 10) -> KneserNey:
                     for (name, kind), values in zip(arrays.items(), unpack(block)):
                         if kind == "u1":
                             values = np.minimum(values, 255)
-                        _put(f"{folder}/{name}", first[b], values.astype(kind))
+                        _put(f"{folder}/{name}", int(first.value[b]), values.astype(kind))
                 yield pa.record_batch([batch.column("bucket")], ["bucket"])
 
         found.select("bucket", "block").mapInArrow(put, "bucket int").count()
-        return rows, n, first
+        return n
+
+    def summed(found: DataFrame, name: str, size: int) -> list[int]:
+        """Sums of the elements of an array column."""
+        row = found.agg(*(F.sum(F.col(name)[k]).alias(f"c{k}") for k in range(size))).first()
+        return [v or 0 for v in row]
 
     found = stage(texts.mapInArrow(count_words, "bucket int, block binary").groupBy("bucket").applyInArrow(sum_words, "bucket int, n long, total long, block binary"), "words", "none")
-    rows, vocabulary, _ = laid_out(found, {"word": "<u8", "count": "<i8"})
-    tokens = sum(r["total"] for r in rows)
+    vocabulary = laid_out(found, {"word": "<u8", "count": "<i8"})
+    if vocabulary >= MOST_WORDS:
+        raise ValueError(f"{vocabulary} different words; pairs of ids hold fewer than {MOST_WORDS}")
+    tokens = found.agg(F.sum("total")).first()[0] or 0
+    kind = "<u4" if tokens < 1 << 32 else "<i8"  # of counts, none of which is above that of all tokens
     ends = texts.count()
-    model = KneserNey(folder, vocabulary, 0, 0, tokens, ends, 0, (0.75,) * 3, (0.75,) * 3, 1.0)
+    model = KneserNey(folder, kind, vocabulary, 0, 0, tokens, ends, 0, (0.75,) * 3, (0.75,) * 3, 1.0)
 
     # Bigrams of ids; the start of a text is the id after the last word.
     def pairs(h, last, n):
@@ -263,7 +267,7 @@ def train(docs: DataFrame, folds: int = 10) -> KneserNey:
 
     def count_pairs(batches):
         for k, c in held_sums(batches, pairs):
-            yield _deal(_bucket(mix(k), buckets), [k, _narrow(c)])
+            yield dealt(_bucket(mix(k), buckets), [k, _narrow(c)])
 
     def sum_pairs(t: pa.Table) -> pa.Table:
         k, c = _sum_by(*blocks_of(t))
@@ -278,6 +282,7 @@ def train(docs: DataFrame, folds: int = 10) -> KneserNey:
                 "n": pa.array([len(k)]),
                 "counts": pa.array([[int((c == x).sum()) for x in (1, 2, 3, 4)]], pa.list_(pa.int64())),
                 "block": pa.array([pack(m[order], _narrow(c[order]))], pa.binary()),
+                "n_large": pa.array([len(large)], pa.int64()),
                 "large": pa.array([pack(m[large], c[large])], pa.binary()),
                 "contexts": pa.array([pack(context, *map(_narrow, stats))], pa.binary()),
                 "words": pa.array([pack(word, _narrow(contexts))], pa.binary()),
@@ -285,61 +290,54 @@ def train(docs: DataFrame, folds: int = 10) -> KneserNey:
         )
 
     found = stage(
-        texts.mapInArrow(count_pairs, "bucket int, block binary").groupBy("bucket").applyInArrow(sum_pairs, "bucket int, n long, counts array<long>, block binary, large binary, contexts binary, words binary"),
+        texts.mapInArrow(count_pairs, "bucket int, block binary").groupBy("bucket").applyInArrow(sum_pairs, "bucket int, n long, counts array<long>, block binary, n_large long, large binary, contexts binary, words binary"),
         "pairs",
         "none",
     )
-    rows, bigrams, _ = laid_out(found.select("bucket", "n", "counts", "block"), {"pair": "<u8", "pair-count": "u1"})
-    counts = [sum(r["counts"][k] for r in rows) for k in range(4)]
-
-    # Pairs of 255 or more, in order of buckets: at most a 255th of all tokens, each block at its place.
-    def size_of_large(batches):
-        for batch in batches:
-            yield pa.record_batch([batch.column("bucket"), pa.array([len(unpack(b)[0]) for b in batch.column("large").to_pylist()], pa.int64())], ["bucket", "n"])
-
-    sizes = found.select("bucket", "large").mapInArrow(size_of_large, "bucket int, n long")
-    large = stage(found.select("bucket", F.col("large").alias("block")).join(F.broadcast(sizes), "bucket"), "large", "none")  # a row for each bucket
-    _, n_large, _ = laid_out(large.select("bucket", "n", "block"), {"large": "<u8", "large-count": "<i8"})
+    bigrams = laid_out(found.select("bucket", "n", "block"), {"pair": "<u8", "pair-count": "u1"})
+    counts = summed(found, "counts", 4)
+    # Pairs of 255 or more, in order of buckets: at most a 255th of all tokens.
+    n_large = laid_out(found.select("bucket", F.col("n_large").alias("n"), F.col("large").alias("block")), {"large": "<u8", "large-count": "<i8"})
 
     # Statistics of words: buckets of equal ranges of ids.
     spans = max(1, min(buckets, vocabulary))
     width = -(-(vocabulary + 1) // spans)
     for name in ("once", "twice", "more", "contexts"):
-        _create(f"{folder}/{name}", "<u4", vocabulary + 1)
+        _create(f"{folder}/{name}", kind, vocabulary + 1)
 
     def deal_stats(batches):
         for batch in batches:
-            for kind in ("contexts", "words"):
-                for block in batch.column(kind).to_pylist():
+            for name in ("contexts", "words"):
+                for block in batch.column(name).to_pylist():
                     ids, *stats = unpack(block)
                     if len(ids):
-                        part = _deal((ids // U64(width)).astype(np.int64), [ids, *stats])
-                        yield part.append_column("kind", pa.array([kind] * part.num_rows))
+                        part = dealt((ids // U64(width)).astype(np.int64), [ids, *stats])
+                        yield part.append_column("kind", pa.array([name] * part.num_rows))
 
     def sum_stats(t: pa.Table) -> pa.Table:
         span = t.column("bucket")[0].as_py()
         lo, hi = span * width, min((span + 1) * width, vocabulary + 1)
         sums = np.zeros((4, hi - lo), np.int64)
-        for kind, block in zip(t.column("kind").to_pylist(), t.column("block").to_pylist()):
+        for name, block in zip(t.column("kind").to_pylist(), t.column("block").to_pylist()):
             ids, *stats = unpack(block)
             at = ids.astype(np.int64) - lo
-            if kind == "contexts":
+            if name == "contexts":
                 for k in range(3):
                     sums[k, at] += stats[k]
             else:
                 sums[3, at] += stats[0]
         for k, name in enumerate(("once", "twice", "more", "contexts")):
-            _put(f"{folder}/{name}", lo, np.minimum(sums[k], (1 << 32) - 1).astype("<u4"))
+            _put(f"{folder}/{name}", lo, sums[k].astype(kind))
         c = sums[3]
         return pa.table({"total": pa.array([int(c.sum())]), "counts": pa.array([[int((c == x).sum()) for x in (1, 2, 3, 4)] + [int((c > 2).sum())]], pa.list_(pa.int64()))})
 
-    dealt = found.select("contexts", "words").mapInArrow(deal_stats, "bucket int, block binary, kind string")
-    got = dealt.groupBy("bucket").applyInArrow(sum_stats, "total long, counts array<long>").collect()  # a row for each span
-    types = sum(r["total"] for r in got)
-    by_count = [sum(r["counts"][k] for r in got) for k in range(5)]
+    spread = found.select("contexts", "words").mapInArrow(deal_stats, "bucket int, block binary, kind string")
+    got = stage(spread.groupBy("bucket").applyInArrow(sum_stats, "total long, counts array<long>"), "statistics")
+    types = got.agg(F.sum("total")).first()[0] or 0
+    by_count = summed(got, "counts", 5)
     word_discount = discounts(by_count[:4])
     left = word_discount[0] * by_count[0] + word_discount[1] * by_count[1] + word_discount[2] * by_count[4]
-    return KneserNey(folder, vocabulary, bigrams, n_large, tokens, ends, types, discounts(counts), word_discount, left / types if types else 1.0)
+    return KneserNey(folder, kind, vocabulary, bigrams, n_large, tokens, ends, types, discounts(counts), word_discount, left / types if types else 1.0)
 
 
 def score(docs: DataFrame, model: KneserNey, folds: int = 10) -> DataFrame:
