@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from functools import wraps
 from importlib import import_module
@@ -12,15 +13,9 @@ from . import _shared
 
 _MODULES = ("jaccard_join", "packing", "suffix_dedup", "language_model", "embedding_dedup", "exact_dedup", "quality", "sharding", "bpe", "language")
 
-#: Rows handed to a Python worker at once, at most: whole texts are large.
-ROWS = 1000
-
 
 def ship(spark) -> None:
-    """Bound what Python workers hold, and give executors this package: once for each session, as a zip in the shared folder."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(spark.conf.get(name))
-    spark.conf.set(name, min(rows, ROWS) if rows > 0 else ROWS)
+    """Give executors this package: once for each session, as a zip in the shared folder."""
     context = spark.sparkContext
     if getattr(context, "_skein_shipped", False):
         return
@@ -28,21 +23,31 @@ def ship(spark) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(top.rglob("*.py")):
             z.write(f, f.relative_to(top.parent))
-    context.addPyFile(_shared.write_bytes(spark, f"{_shared.scratch(spark, 'package')}/skeinspark_package.zip", packed.getvalue()))
+    folder = f"{_shared.shared_root(spark)}/skein-package-{uuid.uuid4().hex[:12]}"
+    _shared._lasting[folder] = spark
+    context.addPyFile(_shared.write_bytes(spark, f"{folder}/skeinspark_package.zip", packed.getvalue()))
     context._skein_shipped = True
 
 
-def _shipped(query):
+def discard(df) -> None:
+    """Remove the scratch folders that a query's frame reads, when it is no longer wanted."""
+    _shared.discard(df)
+
+
+def shipped(query):
+    """A query whose package is on the executors, and whose jobs, but for the last, get small batches."""
+
     @wraps(query)
-    def run(spark, sf_dir):
+    def run(spark, *args):
         ship(spark)
-        return query(spark, sf_dir)
+        with _shared.bounded_batches(spark):
+            return query(spark, *args)
 
     return run
 
 
 def queries() -> dict:
-    return {k: _shipped(v) for m in _MODULES for k, v in import_module(f"{__name__}.{m}").QUERIES.items()}
+    return {k: shipped(v) for m in _MODULES for k, v in import_module(f"{__name__}.{m}").QUERIES.items()}
 
 
 def oracle_sql() -> dict:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import join_by_key, split_by_marks, stage, test_bit
+from ._shared import join_by_key, settled, split_by_marks, stage, test_bit
 
 #: Bits of the broadcast filter at most: 8 MB. Beyond what these can tell apart more rows shuffle; results stay the same.
 FILTER_BITS = 1 << 26
@@ -44,6 +44,7 @@ def _suspects(docs: DataFrame, doc_id: str, text: str, filter_bits: int) -> tupl
     return told, groups
 
 
+@settled
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -58,6 +59,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fi
     return alone.unionByName(grouped).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@settled
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, that of the largest doc_id; repeated rows become one.
 

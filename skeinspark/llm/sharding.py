@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ._shared import scratch, stage
+from ._shared import scratch, settled, stage
 
 SLOTS = 8192
 SHARDS = 24
@@ -117,6 +117,7 @@ def assign(rows: DataFrame, mapping: SlotMap, count: list[int]) -> DataFrame:
     return rows.withColumn("rank", rank).join(F.broadcast(table), "virtual_slot").withColumn("slot", F.col("base") + F.col("rank") - 1).drop("base", "rank")
 
 
+@settled
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """One row per row of ``docs`` under the law ``bytes``: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
 

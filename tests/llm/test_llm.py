@@ -462,3 +462,74 @@ def test_pipeline(spark):
 def test_registered_queries(spark):
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in llm.queries()) == list(range(1, 11))
     assert set(llm.oracle_sql()) <= set(llm.queries())
+
+
+def alike_sequence(n, flip=0):
+    """Letters a and b of which each half is the other's complement: polynomial hashes modulo a power of two can't tell the two apart."""
+    return "".join("ab"[(k.bit_count() + flip) & 1] for k in range(n))
+
+
+ALIKE = [alike_sequence(n, flip) for n in (1024, 2048, 4096) for flip in (0, 1)]
+
+
+def test_hashes_tell_alike_words_apart():
+    from skeinspark.llm import _words
+
+    texts = [*ALIKE, *(alike_sequence(n, f) for n in (16, 32, 64, 128) for f in (0, 1)), *("x" * n for n in range(1, 140))]
+    data = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    w = _words.words(data, np.array([0, len(data)]))
+    assert len(w.hash) == len(texts) == len(set(w.hash.tolist()))
+    h = np.random.default_rng(0).integers(0, 1 << 63, 30_000).astype(np.uint64)
+    for k in (1, 2, 5, 25):
+        g = _words.gram_hashes(h, k)
+        assert len(g) == len(h) - k + 1 and all(_words.gram_hashes(h[i : i + k], k)[0] == g[i] for i in (0, 8190, 8192, 20_000))
+        assert len(_words.gram_hashes(h[: k - 1], k)) == 0
+
+
+def test_alike_words_in_every_operator(spark, library):
+    """Texts that differ in one such word are not the same to any operator."""
+    llm.ship(spark)
+    more = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, f"{w} {more}" if k % 2 else w) for k, w in enumerate(x for x in ALIKE for _ in range(2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    ids = {i: library.encode(x, add_special_tokens=False).ids for i, x in rows}
+    assert {r.doc_id: r.ids for r in bpe.encode_documents(df).collect()} == ids
+    pieces = collections.defaultdict(list)
+    for r in sorted(packing.pack_documents(df).collect(), key=lambda r: (r.doc_id, r.start)):
+        pieces[r.doc_id] += np.frombuffer(bytes(r.ids), "<u4").tolist()
+    assert pieces == {i: [*x, 1] for i, x in ids.items()}
+    assert sorted(map(tuple, jaccard_join.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect())) == sorted(brute_components(rows))
+    got = {(r.doc_id, k) for r in suffix_dedup.repeated_spans(df).collect() for k in range(r.start, r.stop)}
+    assert got == {(d[0], k) for d, s in brute_repeats(rows).items() for k in s}
+    key = lambda r: r[0]
+    for a, b in zip(sorted(map(tuple, language_model.score(df, language_model.train(df)).collect()), key=key), sorted(brute_model(rows), key=key), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
+def test_bpe_where_keys_of_pieces_meet(library, monkeypatch):
+    """All long pieces share one key, and the memory of pieces is emptied again and again; ids are the library's all the same."""
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, start, end: np.full(len(start), 7, np.uint64))
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    tool = bpe.Encoder(bpe.default_vocabulary())
+    rng = np.random.default_rng(8)
+    say = lambda: "".join(rng.choice(list("ab éthe'sion  \n1"), rng.integers(0, 300)))
+    texts = [*ODD, *ALIKE, *(say() for _ in range(200))]
+    from skeinspark.llm._words import slices
+    import pyarrow as pa
+
+    for _ in range(2):
+        for lo, hi, data, offs in slices(pa.array(texts), 3000):
+            ids, bound = tool.encode(data, offs)
+            assert [ids[a:b].tolist() for a, b in zip(bound[:-1], bound[1:])] == [library.encode(x, add_special_tokens=False).ids for x in texts[lo:hi]]
+    assert tool.known.used <= 40 + 3000
+
+
+def test_packing_pads_the_last_sequence_alone(docs):
+    """Sequences are full but for the last one, whose filled part is the rest of all tokens."""
+    got = packing.pack_documents(docs, 128).collect()
+    filled = collections.Counter()
+    for r in got:
+        filled[r.sequence_id] += r.length
+    total = sum(filled.values())
+    assert sorted(filled) == list(range(-(-total // 128)))
+    assert all(filled[k] == 128 for k in filled if k < total // 128) and filled[max(filled)] == (total % 128 or 128)
