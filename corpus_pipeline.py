@@ -5,61 +5,39 @@ Each stage is written to the shared folder and read again by the next.
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinspark import llm
-from skeinspark.llm import _shared
+from skeinspark.llm import _shared, shipped
 from skeinspark.llm.exact_dedup import drop_copies
 from skeinspark.llm.jaccard_join import drop_near_copies
 from skeinspark.llm.packing import pack_documents
 from skeinspark.llm.quality import drop_rejected
 from skeinspark.llm.suffix_dedup import remove_repeats
 
-_used: list[str] = []
-
-
-def _stage(function):
-    """Ships the package, and removes scratch tables of the stage before: its result has been written by then."""
-
-    @wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        llm.ship(spark)
-        for path in _used:
-            _shared.forget(path)
-        _used.clear()
-        before = set(_shared.made())
-        out = function(spark, docs, sf_dir)
-        _used.extend(p for p in _shared.made() if p not in before)
-        return out
-
-    return run_stage
-
 
-@_stage
+@shipped
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-@_stage
+@shipped
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_copies(docs)
 
 
-@_stage
+@shipped
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_copies(docs)
 
 
-@_stage
+@shipped
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = remove_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast(cut.schema["n_chars"].dataType)) if "n_chars" in cut.columns else cut
 
 
-@_stage
+@shipped
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
@@ -70,12 +48,18 @@ STAGES = [("quality", quality), ("exact_dedup", exact_copies), ("jaccard_join",
 ORACLE_SQL = None
 
 
+@shipped
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. What a written stage has read is removed; what the returned frame reads stays until ``llm.discard`` or exit."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, function) in enumerate(STAGES):
+    path = None
+    for name, function in STAGES[:-1]:
         out = function(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
         path = _shared.scratch(spark, f"pipeline-{name}")
         out.write.parquet(path)
+        _shared.discard(out)
         docs = spark.read.schema(out.schema).parquet(path)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    if path not in _shared.read_by(out):
+        _shared.forget(path)
+    return out
