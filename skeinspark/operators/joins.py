@@ -5,44 +5,76 @@ All work by time or value buckets, so that no task holds all rows of a hot key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, value: str, bucket: Column | None = None, alias: str | None = None) -> DataFrame:
-    """``left`` with the value of the last ``right`` row of the same key at or before its time (null if none).
+#: Rows of a side that is broadcast, at most; larger ones are joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint where it has at most ``most`` rows, which is counted; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def asof_join(
+    left: DataFrame, right: DataFrame, on: str | list[str], left_time: str, right_time: str, value: str | list[str], bucket: Callable[[Column], Column] | None = None, alias: str | list[str] | None = None
+) -> DataFrame:
+    """``left`` with values of the last ``right`` row of the same keys at or before its time (null if none).
 
-    Rows are windowed within (key, bucket) only; what held at a bucket's begin comes from one
-    aggregated row per key and bucket. Of right rows with equal times the greatest value counts.
-    Null keys and times match nothing. ``bucket`` is a function of the time column, a day by default.
+    Rows are windowed within (keys, bucket) only; what held at a bucket's begin comes from one
+    aggregated row per key and bucket. Of right rows with equal times the greatest values count.
+    Null keys and times match nothing. ``bucket`` is a function of the time column, a day by
+    default. ``alias`` names the new columns; a name that ``left`` has already is an error.
     """
-    alias = alias or value
-    cut = bucket if bucket is not None else (lambda t: F.date_trunc("day", t))
+    keys, values = [on] if isinstance(on, str) else list(on), [value] if isinstance(value, str) else list(value)
+    alias = values if alias is None else [alias] if isinstance(alias, str) else list(alias)
+    if clash := set(alias) & set(left.columns):
+        raise ValueError(f"left has columns {sorted(clash)} already")
+    cut = bucket or (lambda t: F.date_trunc("day", t))
     names = left.columns
-    a = left.select(*names, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
-    r = right.filter(F.col(right_time).isNotNull() & F.col(on).isNotNull())
-    b = r.select(*[(F.col(on) if c == on else F.lit(None).cast(left.schema[c].dataType)).alias(c) for c in names], F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v"))
+    held_kind = T.StructType([T.StructField(f"v{k}", right.schema[v].dataType) for k, v in enumerate(values)])
+    a = left.select(*names, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(held_kind).alias("__v"))
+    known = [F.col(c).isNotNull() for c in (right_time, *keys)]
+    r = right.filter(reduce(lambda x, y: x & y, known))
+    own = F.struct(*(F.col(v).alias(f"v{k}") for k, v in enumerate(values)))
+    b = r.select(*[(F.col(c) if c in keys else F.lit(None).cast(left.schema[c].dataType)).alias(c) for c in names], F.col(right_time).alias("__t"), F.lit(0).alias("__side"), own.alias("__v"))
     both = a.unionByName(b).withColumn("__b", cut(F.col("__t")))
-    ends = both.groupBy(on, "__b").agg(F.max(F.when(F.col("__side") == 0, F.struct("__t", "__v"))).alias("__end"))
-    before = W.Window.partitionBy(on).orderBy("__b").rowsBetween(W.Window.unboundedPreceding, -1)
-    carried = ends.select(F.col(on).alias("__key"), F.col("__b").alias("__bucket"), F.last("__end", ignorenulls=True).over(before).alias("__carry"))
-    inside = W.Window.partitionBy(on, "__b").orderBy("__t", "__side", "__v").rowsBetween(W.Window.unboundedPreceding, 0)
+    ends = both.groupBy(*keys, "__b").agg(F.max(F.when(F.col("__side") == 0, F.struct("__t", "__v"))).alias("__end"))
+    before = W.Window.partitionBy(*keys).orderBy("__b").rowsBetween(W.Window.unboundedPreceding, -1)
+    carried = ends.select(*(F.col(c).alias(f"__key{k}") for k, c in enumerate(keys)), F.col("__b").alias("__bucket"), F.last("__end", ignorenulls=True).over(before).alias("__carry"))
+    inside = W.Window.partitionBy(*keys, "__b").orderBy("__t", "__side", "__v").rowsBetween(W.Window.unboundedPreceding, 0)
     held = both.withColumn("__last", F.last(F.when(F.col("__side") == 0, F.struct("__t", "__v")), ignorenulls=True).over(inside)).filter("__side = 1")
-    joined = held.join(carried, (F.col(on) == F.col("__key")) & (F.col("__b") == F.col("__bucket")), "left")
-    found = F.when(F.col(on).isNotNull() & F.col("__t").isNotNull(), F.coalesce("__last", "__carry"))
-    return joined.select(*names, found["__v"].alias(alias))
+    same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"__key{k}") for k, c in enumerate(keys)])
+    joined = held.join(carried, same & (F.col("__b") == F.col("__bucket")), "left")
+    told = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (*keys, "__t")])
+    found = F.when(told, F.coalesce("__last", "__carry"))
+    return joined.select(*names, *(found["__v"][f"v{k}"].alias(n) for k, n in enumerate(alias)))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
-    """Inner join where ``low <= point <= high``, as an equi-join on buckets of ``width`` and a recheck.
+    """Inner join where ``low <= point <= high``, as an equi-join on slots and a recheck.
 
-    A range goes to each bucket it touches, so ``width`` should be near the usual range. Nulls match nothing.
+    Slots have levels of ``width``, 2 ``width``, 4 ``width`` and so on. A range goes to the
+    level whose slots are as wide as itself, so it touches two of them however wide it is; a
+    point goes to its slot of each level that occurs, of which there are about 60 at most.
+    Adaptive execution splits slots that many points share. Nulls match nothing.
     """
-    slot = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
-    spread = ranges.filter(F.col(low) <= F.col(high)).withColumn("__slot", F.explode(F.sequence(slot(low), slot(high))))
-    placed = points.withColumn("__slot", slot(point))
-    return placed.join(spread, "__slot").filter((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("__slot")
+    size = F.pow(F.lit(2.0), F.col("__level")) * F.lit(float(width))
+    slot = lambda c: F.floor(F.col(c) / size).cast("long")
+    span = (F.col(high) - F.col(low)).cast("double") / F.lit(float(width))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.when(span > 1, span).otherwise(F.lit(1.0))))).cast("int")
+    leveled = ranges.filter(F.col(low) <= F.col(high)).withColumn("__level", level)
+    levels = [r["__level"] for r in leveled.select("__level").distinct().collect()]  # powers of two
+    spread = leveled.withColumn("__slot", F.explode(F.sequence(slot(low), slot(high))))
+    placed = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("__slot", slot(point))
+    return placed.join(spread, ["__level", "__slot"]).filter((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("__level", "__slot")
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, seconds: int) -> DataFrame:
@@ -57,8 +89,18 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], left_time: s
     return a.join(b, [*on, "__slot"]).filter((F.col(right_time) > F.col(left_time)) & (gap <= F.expr(f"INTERVAL {seconds} SECONDS"))).drop("__slot")
 
 
+#: Keys with more than one in so many left rows are salted; there are at most that many of them.
+HOT_SHARE = 4096
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int) -> DataFrame:
-    """Inner equi-join whose left rows of a key are dealt over ``salts`` tasks; right rows are repeated that often."""
-    a = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-    b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return a.join(b, [on, "__salt"]).drop("__salt")
+    """Inner equi-join that deals the left rows of a hot key over ``salts`` tasks; only right rows of hot keys are repeated that often.
+
+    Hot are keys of more than 1 / ``HOT_SHARE`` of the left rows (and two a task at least), so their list is bounded.
+    """
+    n = left.count()
+    hot = left.groupBy(on).count().filter(F.col("count") > max(2 * salts, n // HOT_SHARE)).select(on, F.lit(True).alias("__hot"))
+    a = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+    repeated = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    b = right.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(repeated)).drop("__hot")
+    return a.drop("__hot").join(b, [on, "__salt"]).drop("__salt")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from skeinspark.functions.columns import money
+from skeinspark.operators.quantiles import exact_quantiles
 from skeinspark.plans.registry import Registry
-from skeinspark.sources.tables import table
+from skeinspark.sources.tables import over_tables, table
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -40,6 +41,13 @@ def a3_approx_distinct(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
 
 
+@query("SELECT event_type, count(DISTINCT user_id) AS users, TRUE AS within FROM events GROUP BY event_type")
+def a3_approx_within(spark, sf_dir):
+    """The approximate count is within three of its stated standard errors of the exact one."""
+    g = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.02).alias("about"))
+    return g.select("event_type", "users", (F.abs(F.col("about") - F.col("users")) <= 0.06 * F.col("users")).alias("within"))
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def a4_rollup(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), money(F.sum("l_quantity")).alias("quantity"))
@@ -55,16 +63,23 @@ _SETS = "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP
 
 @query(_SETS)
 def a4_grouping_sets(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return spark.sql(_SETS)
+    return over_tables(spark, sf_dir, _SETS, "orders")
 
 
 @query("SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS median_price, quantile_disc(l_quantity, 0.9) AS p90_quantity FROM lineitem GROUP BY l_returnflag")
 def a5_percentile(spark, sf_dir):
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql("""
-        SELECT l_returnflag, percentile_cont(0.5) WITHIN GROUP (ORDER BY l_extendedprice) AS median_price,
-               percentile_disc(0.9) WITHIN GROUP (ORDER BY l_quantity) AS p90_quantity FROM lineitem GROUP BY l_returnflag""")
+    return exact_quantiles(table(spark, sf_dir, "lineitem"), "l_returnflag", {"median_price": ("l_extendedprice", 0.5, "cont"), "p90_quantity": ("l_quantity", 0.9, "disc")})
+
+
+_WITHIN_GROUP = """
+SELECT l_returnflag, percentile_cont(0.25) WITHIN GROUP (ORDER BY l_quantity) AS low_quantity, percentile_disc(0.75) WITHIN GROUP (ORDER BY l_quantity) AS high_quantity FROM lineitem GROUP BY l_returnflag
+"""
+
+
+@query(_WITHIN_GROUP)
+def a5_within_group(spark, sf_dir):
+    """The engine's own operator, which keeps a count of each distinct value of a group; quantities have few."""
+    return over_tables(spark, sf_dir, _WITHIN_GROUP, "lineitem")
 
 
 @query()
@@ -72,6 +87,20 @@ def a6_approx_percentile(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", [0.25, 0.5, 0.75], 10_000).alias("quartiles"))
 
 
+@query("SELECT l_returnflag, share, TRUE AS within FROM (SELECT DISTINCT l_returnflag FROM lineitem), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) AS t(share)")
+def a6_approx_within(spark, sf_dir):
+    """The rank of each approximate quartile is within a ten thousandth of the rows, its stated error, of the exact one."""
+    t = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
+    shares = [0.25, 0.5, 0.75]
+    about = t.groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", shares, 10_000).alias("q"))  # a row for each flag
+    ranks = t.join(F.broadcast(about), "l_returnflag").groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), *(F.sum(F.when(F.col("l_extendedprice") < F.col("q")[k], 1).otherwise(0)).alias(f"below{k}") for k in range(3)), *(F.sum(F.when(F.col("l_extendedprice") <= F.col("q")[k], 1).otherwise(0)).alias(f"upto{k}") for k in range(3))
+    )
+    near = lambda k, s: (F.col(f"below{k}") <= (s + 1e-4) * F.col("n") + 1) & (F.col(f"upto{k}") >= (s - 1e-4) * F.col("n") - 1)
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("share"), near(k, s).alias("within")) for k, s in enumerate(shares)))).alias("e")
+    return ranks.select("l_returnflag", each).select("l_returnflag", "e.share", "e.within")
+
+
 @query("SELECT l_returnflag, round(var_samp(l_quantity), 4) AS variance, round(stddev_samp(l_extendedprice), 2) AS deviation, round(corr(l_quantity, l_extendedprice), 6) AS correlation FROM lineitem GROUP BY l_returnflag")
 def a7_statistics(spark, sf_dir):
     return (
@@ -93,16 +122,7 @@ FROM lineitem GROUP BY l_suppkey HAVING count(*) > 10
 
 @query(_FILTERED)
 def a9_filtered_having(spark, sf_dir):
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql(_FILTERED)
-
-
-@query("""
-SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type = 'view') AS view
-FROM events GROUP BY user_id
-""")
-def a10_pivot(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "purchase", "view"]).count().na.fill(0)
+    return over_tables(spark, sf_dir, _FILTERED, "lineitem")
 
 
 @query("""
@@ -110,7 +130,7 @@ SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*)
        count(*) FILTER (WHERE event_type = 'signup') AS signup, count(*) FILTER (WHERE event_type = 'view') AS view
 FROM events GROUP BY user_id
 """)
-def a10_pivot_all(spark, sf_dir):
+def a10_pivot(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "error", "purchase", "signup", "view"]).count().na.fill(0)
 
 
@@ -173,8 +193,7 @@ SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN I
 
 @query(_RANGE)
 def w4_range_frame(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    return spark.sql(_RANGE)
+    return over_tables(spark, sf_dir, _RANGE, "events")
 
 
 @query("SELECT l_partkey, l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_quantity RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS alike FROM lineitem")

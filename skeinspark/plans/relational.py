@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinspark.functions.columns import money
-from skeinspark.operators.joins import asof_join, interval_join, range_join, salted_join
+from skeinspark.operators.joins import asof_join, interval_join, range_join, salted_join, small
 from skeinspark.operators.sorting import placed
 from skeinspark.plans.registry import Registry
 from skeinspark.sources import formats
-from skeinspark.sources.tables import table
+from skeinspark.sources.tables import over_tables, table
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -79,9 +79,10 @@ def p2_filter(spark, sf_dir):
     )
 
 
-@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_name LIKE '%1%' AND p_type NOT LIKE 'S%'")
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE (p_name LIKE '% ring' OR p_name LIKE '_e_ %') AND p_type NOT LIKE 'S%'")
 def p2_like(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter(F.col("p_name").like("%1%") & ~F.col("p_type").like("S%")).select("p_partkey", "p_name", "p_type")
+    c = F.col
+    return table(spark, sf_dir, "part").filter((c("p_name").like("% ring") | c("p_name").like("_e_ %")) & ~c("p_type").like("S%")).select("p_partkey", "p_name", "p_type")
 
 
 @query("""
@@ -143,8 +144,7 @@ def j4_cross(spark, sf_dir):
 
 @query("SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def j5_broadcast(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation")  # a fixed list, far under the broadcast limit
-    joined = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = table(spark, sf_dir, "customer").join(small(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), money(F.sum("c_acctbal")).alias("balance"))
 
 
@@ -193,18 +193,12 @@ def j10_lateral(spark, sf_dir):
     return table(spark, sf_dir, "customer").lateralJoin(top).select("c_custkey", "o_orderkey", "o_totalprice")
 
 
-def _views(spark, sf_dir, *names):
-    for n in names:
-        table(spark, sf_dir, n).createOrReplaceTempView(n)
-
-
 _EXISTS = "SELECT o_orderkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)"
 
 
 @query(_EXISTS)
 def j11_exists(spark, sf_dir):
-    _views(spark, sf_dir, "orders", "lineitem")
-    return spark.sql(_EXISTS)
+    return over_tables(spark, sf_dir, _EXISTS, "orders", "lineitem")
 
 
 _SCALAR = "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem l WHERE l_quantity < (SELECT 0.2 * avg(l_quantity) FROM lineitem i WHERE i.l_partkey = l.l_partkey)"
@@ -212,8 +206,7 @@ _SCALAR = "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem l WHERE l_quan
 
 @query(_SCALAR)
 def j11_scalar_subquery(spark, sf_dir):
-    _views(spark, sf_dir, "lineitem")
-    return spark.sql(_SCALAR)
+    return over_tables(spark, sf_dir, _SCALAR, "lineitem")
 
 
 @query("SELECT l_suppkey, count(*) AS n, round(sum(s_acctbal), 2) AS balance FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_suppkey")
@@ -223,23 +216,11 @@ def j12_salted(spark, sf_dir):
     return joined.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), money(F.sum("s_acctbal")).alias("balance"))
 
 
-@query("""
-SELECT doc_id, quality, row_number() OVER (ORDER BY quality DESC NULLS FIRST, doc_id) AS place
-FROM (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) ORDER BY quality DESC NULLS FIRST, doc_id LIMIT 50
-""")
-def o1_sort_nulls(spark, sf_dir):
-    joined = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    top = joined.orderBy(F.desc_nulls_first("quality"), "doc_id").limit(50)
-    from pyspark.sql.window import Window
-
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_first("quality"), "doc_id")))
-
-
 @query("""
 SELECT doc_id, quality, row_number() OVER (ORDER BY quality DESC NULLS FIRST, doc_id) AS place
 FROM (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) ORDER BY quality DESC NULLS FIRST, doc_id
 """)
-def o1_sort_nulls_all(spark, sf_dir):
+def o1_sort_nulls(spark, sf_dir):
     joined = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     return placed(joined, "quality", "doc_id").orderBy(F.desc_nulls_first("quality"), "doc_id")
 
@@ -271,6 +252,14 @@ def o4_sample(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").sample(0.1, seed=7)
 
 
+@query("SELECT count(*) AS n, TRUE AS within FROM lineitem")
+def o4_sample_within(spark, sf_dir):
+    """The sample's size is within five standard deviations of a tenth."""
+    t = table(spark, sf_dir, "lineitem")
+    sizes = t.agg(F.count(F.lit(1)).alias("n")).crossJoin(t.sample(0.1, seed=7).agg(F.count(F.lit(1)).alias("m")))  # a row each
+    return sizes.select("n", (F.abs(F.col("m") - F.col("n") * 0.1) <= 5 * F.sqrt(F.col("n") * 0.09)).alias("within"))
+
+
 @query("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 def u1_union_all(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).unionAll(table(spark, sf_dir, "supplier").select("s_nationkey"))

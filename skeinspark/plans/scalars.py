@@ -5,7 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from skeinspark.functions.columns import dot
+from skeinspark.functions.columns import cosine, distance, dot
+from skeinspark.operators.joins import small
+from skeinspark.operators.nearest import nearest
 from skeinspark.plans.registry import Registry
 from skeinspark.sources.tables import table
 
@@ -88,13 +90,39 @@ def f6_json(spark, sf_dir):
 SELECT o_orderkey, TRY_CAST('x' || o_orderstatus AS INTEGER) AS none, o_totalprice / nullif(o_orderkey % 2, 0) AS odd_only, isnan(o_totalprice) AS nan, ifnull(nullif(o_orderpriority, '5-LOW'), '-') AS shown
 FROM orders
 """)
-def f7_null_and_errors(spark, sf_dir):
+def f8_null_and_errors(spark, sf_dir):
     c = F.col
     return table(spark, sf_dir, "orders").select(
         "o_orderkey", F.expr("try_cast('x' || o_orderstatus AS int)").alias("none"), F.try_divide(c("o_totalprice"), c("o_orderkey") % 2).alias("odd_only"), F.isnan("o_totalprice").alias("nan"), F.ifnull(F.nullif(c("o_orderpriority"), F.lit("5-LOW")), F.lit("-")).alias("shown")
     )
 
 
+@query("""
+SELECT a.vec_id, b.vec_id AS first_of_label, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS dot,
+       round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS distance
+FROM embeddings a JOIN (SELECT label, arg_min(embedding, vec_id) AS embedding, min(vec_id) AS vec_id FROM embeddings GROUP BY label) b ON a.label = b.label
+""")
+def f7_vector_similarity(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    firsts = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("other"), F.min("vec_id").alias("first_of_label"))
+    a, b = F.col("embedding"), F.col("other")
+    return e.join(small(firsts), "label").select(
+        "vec_id", "first_of_label", F.round(dot(a, b), 5).alias("dot"), F.round(cosine(a, b), 5).alias("cosine"), F.round(distance(a, b), 5).alias("distance")
+    )
+
+
+@query("""
+SELECT query_id, vec_id, similarity, place FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS similarity,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) DESC, e.vec_id) AS place
+  FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id) WHERE place <= 5
+""")
+def f7_k_nearest(spark, sf_dir):
+    """The five nearest of all vectors by cosine, for the query vectors: those whose id is divisible by 50."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 5)
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def t1_tumbling(spark, sf_dir):
     g = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))

@@ -45,6 +45,25 @@ def t7_custom_state(spark, sf_dir):
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
 
 
-@query()
+@query("""
+WITH a AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM a)
+SELECT * FROM (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS finish, count(*) AS n FROM b GROUP BY user_id, s)
+WHERE finish <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+""")
 def t8_stream_sessions(spark, sf_dir):
-    return S.run_to_end(S.sessions(_events(spark, sf_dir)), "sessions")
+    out = S.run_to_end(S.sessions(_events(spark, sf_dir)), "sessions")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "finish")})
+
+
+@query("""
+SELECT start, event_type, n FROM (
+  SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events WHERE NOT (event_type = 'error' AND ts < TIMESTAMP '2024-01-16') GROUP BY 1, 2)
+WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+""")
+def t8_late_data(spark, sf_dir):
+    """Errors of the first half of the month arrive after everything else, two batches behind the watermark, and reopen no window."""
+    parts = ["not late and ts < middle", "not late and ts >= middle and ts < middle + interval 9 days", "ts >= middle + interval 9 days", "late"]
+    feed = S.fed_in_order(spark, f"{sf_dir}/events.parquet", parts, late="event_type = 'error' and ts < middle", middle="timestamp_ntz '2024-01-16'")
+    out = S.run_to_end(S.windowed_counts(feed), "late")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

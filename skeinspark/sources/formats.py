@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from skeinspark.sources.scratch import scratch
+
 FORMATS = ("parquet", "orc", "json", "csv", "text")
 
 
@@ -39,7 +39,6 @@ def read(spark: SparkSession, path: str, kind: str, schema: T.StructType | str |
 def round_trip(df: DataFrame, kind: str) -> DataFrame:
     """``df`` written to the cluster's shared folder and read again."""
     spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    path = f"{root}/formats-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, "formats")
     write(df, path, kind)
     return read(spark, path, kind, df.schema if kind != "text" else None)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skeinspark.sources.scratch import scratch
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -22,15 +23,25 @@ def events(spark: SparkSession, path: str, files_per_trigger: int | None = None)
     return reader.parquet(glob).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    return f"{root}/stream-{name}-{uuid.uuid4().hex[:12]}"
+def fed_in_order(spark: SparkSession, path: str, parts: list[str], **terms: str) -> DataFrame:
+    """The events of a table as a stream of one micro-batch for each part (a condition), in their order. ``terms`` are columns that conditions may name.
+
+    Each part is written as one file to the shared folder; the source takes one file at a time, oldest first.
+    """
+    folder = scratch(spark, "feed")
+    rows = spark.read.schema(EVENTS).parquet(path)
+    named = rows
+    for name in reversed(terms):
+        named = named.withColumn(name, F.expr(terms[name]))
+    for k, part in enumerate(parts):
+        named.filter(part).select(*rows.columns).coalesce(1).write.parquet(f"{folder}/{k}")
+    return events(spark, f"{folder}/*", files_per_trigger=1)
 
 
 def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     """Process all that is there in append mode into Parquet files, exactly once, and read them."""
     spark = stream.sparkSession
-    path = shared_path(spark, name)
+    path = scratch(spark, f"stream-{name}")
     started = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")

@@ -81,13 +81,13 @@ def test_placed(spark, pieces):
 
 
 def test_sort_nulls_has_every_row(spark):
-    got = catalogue.queries()["o1_sort_nulls_all"](spark, SF).collect()
+    got = catalogue.queries()["o1_sort_nulls"](spark, SF).collect()
     assert len(got) == 200 and [r.place for r in got] == list(range(1, 201))
     assert [r.quality is None for r in got] == [True] * 113 + [False] * 87
 
 
 def test_pivot_counts_every_event(spark):
-    rows = catalogue.queries()["a10_pivot_all"](spark, SF).collect()
+    rows = catalogue.queries()["a10_pivot"](spark, SF).collect()
     assert sum(sum(r[1:]) for r in rows) == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
