@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._shared import discard, settled, stage, tidy
 from ._words import slices
 from .quality import in_fold
 
@@ -81,22 +82,6 @@ class OutputCodes:
     bit_weight: np.ndarray
     sharpness: float = 4.0
 
-    @staticmethod
-    def fit(x: np.ndarray, lang: list[str], ridge: float = 1e-2) -> OutputCodes:
-        """One ridge classifier for each bit; a bit weighs as it is right on the sample."""
-        names = sorted(set(lang))
-        code = codewords(len(names))
-        if not names:
-            return OutputCodes([], np.zeros((0, 1)), np.zeros((BUCKETS + 1, 1)), np.ones(1))
-        number = {k: i for i, k in enumerate(names)}
-        who = np.array([number[k] for k in lang])
-        x1 = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1).astype(np.float32)
-        share = 1 / np.bincount(who)[who] * len(who) / len(names)  # languages weigh alike
-        gram = (x1 * share[:, None].astype(np.float32)).T @ x1
-        w = np.linalg.solve(gram.astype(float) + ridge * np.eye(len(gram)), x1.T @ (share[:, None] * code[who]))
-        right = ((x1 @ w) * code[who] > 0).mean(0)
-        return OutputCodes(names, code, w, np.maximum(right - 0.5, 0.01) / 0.5)
-
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Winner, its score, the second, and the score's lead over it."""
         out = x @ self.weights[:-1] + self.weights[-1]
@@ -111,37 +96,110 @@ class OutputCodes:
         return order[:, 0], p[rows, order[:, 0]], second, p[rows, order[:, 0]] - np.where(p.shape[1] > 1, p[rows, second], 0)
 
 
-def fit_language(docs: DataFrame, folds: int = 5, each: int = PER_LANGUAGE, sample: int = SAMPLE) -> OutputCodes:
-    """Fit on every language, on at most ``each`` rows of one and about ``sample`` in all (one of each language at least), outside the held-out fold."""
+def solved(a: np.ndarray, b: np.ndarray, block: int = 64) -> np.ndarray:
+    """The solution of ``a x = b`` for a symmetric positive definite ``a``, eliminated block by block: factorising it whole was seen to hang where the library does so in threads."""
+    a, b, n = a.copy(), b.copy(), len(a)
+    for lo in range(0, n, block):
+        hi = min(lo + block, n)
+        part = np.linalg.inv(a[lo:hi, lo:hi])
+        a[lo:hi, hi:], b[lo:hi] = part @ a[lo:hi, hi:], part @ b[lo:hi]
+        b[hi:] -= a[hi:, lo:hi] @ b[lo:hi]
+        a[hi:, hi:] -= a[hi:, lo:hi] @ a[lo:hi, hi:]
+    for lo in range((n - 1) // block * block, -1, -block):
+        hi = min(lo + block, n)
+        b[lo:hi] -= a[lo:hi, hi:] @ b[hi:]
+    return b
+
+
+#: Rows of the normal equations that are summed in one place.
+_STRIP = 64
+
+
+@settled
+def _sampled(docs: DataFrame, folds: int, each: int, n: int) -> DataFrame:
+    """lang and features x of at most ``each`` rows of each of ``n`` languages outside the held-out fold; of rows that share id and language one."""
     known = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id", folds))
-    n = known.select("lang").distinct().count()
-    if not n:
-        return OutputCodes.fit(np.zeros((0, BUCKETS)), [])
-    each = max(1, min(each, sample // n))
     # First within pieces of each language, so that no task ranks all ids of a common one.
-    chosen = known.withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    chosen = known.distinct().withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
     for by in (("lang", "piece"), ("lang",)):
         rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
         chosen = chosen.withColumn("rank", rank).filter(F.col("rank") <= each).drop("rank")
-    chosen = chosen.select("doc_id").distinct()
 
+    @tidy
     def run(batches):
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column("text")):
                 x = features(data, offs).astype(np.float16)
                 yield pa.record_batch([batch.column("doc_id")[lo:hi], batch.column("lang")[lo:hi], pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
 
-    texts = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    got = texts.mapInArrow(run, "doc_id long, lang string, x binary").orderBy("doc_id", "lang").limit(2 * each * n).collect()
-    x = np.frombuffer(b"".join(r["x"] for r in got), np.float16).reshape(-1, BUCKETS).astype(np.float32)
-    return OutputCodes.fit(x, [r["lang"] for r in got])
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])  # about SAMPLE rows at most
+    rows = texts.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, x binary")
+    return stage(rows.groupBy("doc_id", "lang").agg(F.min("x").alias("x")).select("lang", "x"), "language-sample")
+
+
+def fit_language(docs: DataFrame, folds: int = 5, each: int = PER_LANGUAGE, sample: int = SAMPLE, ridge: float = 1e-2) -> OutputCodes:
+    """One ridge classifier for each bit of the codewords; a bit weighs as it is right on the sample.
+
+    Fitted on every language, on at most ``each`` rows of one and about ``sample`` in all (one
+    of each language at least), outside the held-out fold. Rows with a null id or language are
+    not learned from; null and empty texts are. The sample stays distributed: tasks sum their
+    part of the normal equations, and these sums, of a fixed size, reach the driver.
+    """
+    learned = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id", folds)).select("lang").distinct()
+    names = sorted(r["lang"] for r in learned.collect())
+    if not names:
+        return OutputCodes([], np.zeros((0, 1)), np.zeros((BUCKETS + 1, 1)), np.ones(1))
+    rows = _sampled(docs, folds, max(1, min(each, sample // len(names))), len(names))
+    code, number = codewords(len(names)), {k: i for i, k in enumerate(names)}
+    held = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    total = sum(held.values())
+    share = np.array([total / (len(names) * held[k]) if k in held else 0.0 for k in names])  # languages weigh alike
+
+    def matrices(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                x = np.frombuffer(b"".join(part.column("x").to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
+                yield np.concatenate([x, np.ones((len(x), 1), np.float32)], 1), np.array([number[k] for k in part.column("lang").to_pylist()])
+
+    @tidy
+    def equations(batches):
+        left, right = np.zeros((BUCKETS + 1, BUCKETS + 1)), np.zeros((BUCKETS + 1, code.shape[1]))
+        for x, who in matrices(batches):
+            weighted = x * share[who].astype(np.float32)[:, None]
+            left += weighted.T @ x
+            right += weighted.T @ code[who].astype(np.float32)
+        if left[-1, -1]:
+            both = np.concatenate([left, right], 1)
+            at = range(0, BUCKETS + 1, _STRIP)
+            yield pa.record_batch([pa.array(at, pa.int32()), pa.array([both[k : k + _STRIP].tobytes() for k in at], pa.binary())], ["strip", "sums"])
+
+    def added(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b.as_py()) for b in t.column("sums"))
+        return pa.table({"strip": t.column("strip")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    got = rows.mapInArrow(equations, "strip int, sums binary").groupBy("strip").applyInArrow(added, "strip int, sums binary").collect()
+    both = np.frombuffer(b"".join(r["sums"] for r in sorted(got, key=lambda r: r["strip"]))).reshape(BUCKETS + 1, -1)
+    weights = solved(both[:, : BUCKETS + 1] + ridge * np.eye(BUCKETS + 1), both[:, BUCKETS + 1 :])
+
+    @tidy
+    def rightly(batches):
+        right = np.zeros(code.shape[1], np.int64)
+        for x, who in matrices(batches):
+            right += (x @ weights * code[who] > 0).sum(0)
+        yield pa.record_batch([pa.array([right.tolist()], pa.list_(pa.int64()))], ["right"])
+
+    right = rows.mapInArrow(rightly, "right array<long>").agg(*(F.sum(F.col("right")[k]) for k in range(code.shape[1]))).first()
+    discard(rows)
+    return OutputCodes(names, code, weights, np.maximum(np.array(right, float) / total - 0.5, 0.01) / 0.5)
 
 
 def identify(docs: DataFrame, model: OutputCodes) -> DataFrame:
     """doc_id, lang_pred, score, second and ambiguous of every row.
 
     ``und`` with score 0 stands for null texts, texts without a letter, and a model that
-    has learned no language. Repeated rows are told alike. Other columns are not read.
+    has learned no language. Repeated rows are told alike, very long texts are read whole. An
+    empty table gives no rows. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

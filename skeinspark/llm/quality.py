@@ -174,10 +174,11 @@ def in_fold(doc_id: str, folds: int) -> F.Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5) -> FactorisationMachine:
-    """Fit on at most ``sample`` labelled rows outside the held-out fold, those of the lowest id hashes."""
+    """Fit on at most ``sample`` labelled rows outside the held-out fold, those of the lowest id hashes; of documents that share an id one."""
     chosen = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~in_fold("doc_id", folds))
         .select("doc_id", "quality")
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
         .limit(sample)
     )
@@ -195,7 +196,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds:
                 yield pa.record_batch([batch.column("doc_id")[lo:hi], batch.column("quality")[lo:hi], pa.array(out, pa.binary())], ["doc_id", "quality", "x"])
 
     texts = with_metadata(docs, "doc_id").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
-    got = texts.select("doc_id", "quality", "text", "__n_chars").mapInArrow(features, "doc_id long, quality int, x binary").orderBy("doc_id", "quality").limit(2 * sample).collect()
+    got = texts.select("doc_id", "quality", "text", "__n_chars").mapInArrow(features, "doc_id long, quality int, x binary").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).orderBy("doc_id", "quality").collect()
     return FactorisationMachine.fit([pickle.loads(r["x"]) for r in got], np.array([r["quality"] for r in got], float))
 
 
@@ -223,7 +224,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, keep: tuple[str,
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted (1: good) of every row.
 
-    A null text scores as an empty one that is told as null; n_chars is read where there is one. Repeated rows score alike. Labels
+    A null text scores as an empty one that is told as null; a very long one is read whole; n_chars is read where there is one. Repeated rows score alike. Labels
     with a null id or value are not used; without both labels the score is a constant. An
     empty table gives no rows. Other columns of ``docs`` are not read.
     """
@@ -232,7 +233,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score under ``threshold``."""
+    """``docs`` without the rows that score under ``threshold``, which are told as in ``classify``; all columns stay."""
     scored = score_quality(docs, fit_quality(docs, labels), tuple(docs.columns), "__score")
     return scored.filter(F.col("__score") >= threshold).select(*docs.columns)
 

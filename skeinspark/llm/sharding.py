@@ -79,6 +79,15 @@ class SlotMap:
         """One Parquet folder per version; an older version is never overwritten."""
         self.frame(spark).coalesce(1).write.parquet(f"{path}/version={self.version}")
 
+    @staticmethod
+    def versions(spark: SparkSession, path: str) -> list[int]:
+        """Versions that are stored under ``path``, oldest first."""
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+        return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
     @staticmethod
     def load(spark: SparkSession, path: str, version: int) -> SlotMap:
         rows = spark.read.parquet(f"{path}/version={version}").orderBy("virtual_slot").collect()
@@ -103,8 +112,8 @@ def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int
     return size, count
 
 
-def assign(rows: DataFrame, mapping: SlotMap, count: list[int]) -> DataFrame:
-    """Adds shard and slot, the row's place in its shard, gapless from 0.
+def assign(rows: DataFrame, mapping: SlotMap, count: list[int], path: str) -> DataFrame:
+    """Adds shard, by the map stored under ``path``, and slot, the row's place in its shard, gapless from 0.
 
     Places are the rows of the shard's earlier virtual slots and the rank in the own one,
     so no window holds more than a virtual slot.
@@ -112,7 +121,9 @@ def assign(rows: DataFrame, mapping: SlotMap, count: list[int]) -> DataFrame:
     spark, base, filled = rows.sparkSession, [0] * len(count), [0] * mapping.shards
     for s, k in enumerate(mapping.shard):
         base[s], filled[k] = filled[k], filled[k] + count[s]
-    table = spark.createDataFrame([(s, k, base[s]) for s, k in enumerate(mapping.shard)], "virtual_slot int, shard int, base long")
+    stored = spark.read.parquet(f"{path}/version={mapping.version}").select("virtual_slot", "shard")
+    begins = spark.createDataFrame(list(enumerate(base)), "virtual_slot int, base long")
+    table = stored.join(F.broadcast(begins), "virtual_slot")  # a row for each of a fixed number of slots
     rank = F.row_number().over(W.Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     return rows.withColumn("rank", rank).join(F.broadcast(table), "virtual_slot").withColumn("slot", F.col("base") + F.col("rank") - 1).drop("base", "rank")
 
@@ -121,15 +132,29 @@ def assign(rows: DataFrame, mapping: SlotMap, count: list[int]) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """One row per row of ``docs`` under the law ``bytes``: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
 
-    The map is stored under ``map_path``. Repeated rows and ids each get a place of their
-    own. An empty table gives no rows. Other columns of ``docs`` are not read.
+    The slot map is stored under ``map_path`` (a scratch folder by default), a version in a
+    folder. Where versions are there already, the latest is edited for the sizes and shards
+    of now, the edit is stored as the next version, and only slots named in it move; where
+    nothing has to move, it stays. A null text has no bytes; very long texts count whole.
+    Repeated rows and ids each get a place of their own, null ids as well. An empty table gives
+    no rows. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     rows = stage(slotted(docs, slots), "slotted")
     size, count = slot_sizes(rows, slots)
-    mapping = SlotMap.balanced(size, shards)
-    mapping.save(spark, map_path or scratch(spark, "slot-map"))
-    return assign(rows, mapping, count).select(
+    path = map_path or scratch(spark, "slot-map")
+    if versions := SlotMap.versions(spark, path):
+        mapping = SlotMap.load(spark, path, versions[-1])
+        if len(mapping.shard) != slots:
+            raise ValueError(f"the stored map has {len(mapping.shard)} slots; slots are fixed for good")
+        edited = mapping.rebalanced(size, shards)
+        if edited.moved or edited.shards != mapping.shards:
+            mapping = edited
+            mapping.save(spark, path)
+    else:
+        mapping = SlotMap.balanced(size, shards)
+        mapping.save(spark, path)
+    return assign(rows, mapping, count, path).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(mapping.version).alias("map_version")
     )
 
