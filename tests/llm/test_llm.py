@@ -533,3 +533,170 @@ def test_packing_pads_the_last_sequence_alone(docs):
     total = sum(filled.values())
     assert sorted(filled) == list(range(-(-total // 128)))
     assert all(filled[k] == 128 for k in filled if k < total // 128) and filled[max(filled)] == (total % 128 or 128)
+
+
+def test_pair_sums_are_those_of_all_pairs():
+    """The sum-of-squares identity against each pair of inputs written out."""
+    rng = np.random.default_rng(6)
+    stats = rng.normal(size=(5, 7))
+    m = stats.shape[1]
+    size = quality.BUCKETS + m * quality.BINS + m
+    fm = quality.FactorisationMachine(0.3, rng.normal(size=size), rng.normal(size=(size, quality.FACTORS)) * 0.2, np.sort(rng.normal(size=(m, quality.BINS - 1)), 1), stats.mean(0), stats.std(0))
+    words = [(rng.choice(quality.BUCKETS, 6, replace=False), rng.random(6)) for _ in range(5)]
+    got = fm.score(np.repeat(np.arange(5), 6), np.concatenate([w[0] for w in words]), np.concatenate([w[1] for w in words]), stats)
+    for k, (bucket, value) in enumerate(words):
+        x = np.zeros(size)
+        x[bucket], x[quality.BUCKETS :] = value, fm.dense(stats[k : k + 1])[0]
+        pairs = sum(x[i] * x[j] * (fm.v[i] @ fm.v[j]) for i, j in itertools.combinations(np.flatnonzero(x), 2))
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-(fm.bias + fm.w @ x + pairs))), rel=1e-9)
+
+
+def test_quality_of_held_out_rows(spark):
+    """Accuracy and order on rows that were not learned from; and only one label."""
+    llm.ship(spark)
+    sf = SF.replace("0.001", "0.01")
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.classify(table, labels).filter("held_out").join(labels, "doc_id").collect()
+    assert len(got) > 50 and np.mean([r.predicted == r.quality for r in got]) > 0.9
+    good, bad = ([r.score for r in got if r.quality == q] for q in (1, 0))
+    assert np.mean([a > b for a in good for b in bad]) > 0.98
+    one = quality.classify(table, labels.filter("quality = 1")).select("score").distinct().collect()
+    assert len(one) == 1 and one[0].score > 0.9
+
+
+def test_language_of_held_out_rows(spark):
+    llm.ship(spark)
+    table = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    model = language.fit_language(table)
+    told = language.identify(table, model).withColumn("held", quality.in_fold("doc_id", 5)).join(table.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in told if r.held]
+    assert len(held) > 150 and np.mean([r.lang == r.lang_pred for r in held]) > 0.97
+    # A text of two languages, or of a single word, is nearer to a second one than a long text is.
+    by = {r.lang: r.doc_id for r in told if r.lang == r.lang_pred and not r.ambiguous}
+    texts = {r.doc_id: r.text for r in table.filter(F.col("doc_id").isin(*by.values())).collect()}
+    en, de = texts[by["en"]][:1500], texts[by["de"]][:1500]
+    odd = spark.createDataFrame([(1, en), (2, de), *((10 + k, en[: 100 * k] + " " + de[: 1500 - 100 * k]) for k in range(1, 15))], "doc_id long, text string")
+    out = {r.doc_id: r for r in language.identify(odd, model).collect()}
+    assert not out[1].ambiguous and not out[2].ambiguous and any(out[10 + k].ambiguous for k in range(1, 15))
+    mixed = min((out[10 + k] for k in range(1, 15)), key=lambda r: r.score)
+    assert {mixed.lang_pred, mixed.second} <= {"en", "de", "fr", "es"} and mixed.score < out[1].score
+
+
+def test_language_sample_takes_one_of_a_repeated_id(spark):
+    llm.ship(spark)
+    rows = [(7, f"word {k} again", "en") for k in range(50)] + [(k, "mot encore", "fr") for k in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert {r.lang: r["count"] for r in language._sampled(df, 10**9, 100, 2).groupBy("lang").count().collect()} == {"en": 1, "fr": 30}
+
+
+def test_shards_are_near_equal(spark):
+    """The registered query: shards of near equal bytes, places without gaps, and null ids with places of their own."""
+    got = llm.queries()["op8_sharding"](spark, SF.replace("0.001", "0.01")).collect()
+    load, places = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        load[r.shard] += r["size"]
+        places[r.shard].append(r.slot)
+    assert sorted(load) == list(range(24)) and all(sorted(p) == list(range(len(p))) for p in places.values())
+    biggest = max(r["size"] for r in got)
+    assert max(load.values()) - min(load.values()) <= max(biggest, 0.02 * sum(load.values()) / 24)
+    rows = [(None, "a")] * 3 + [(None, None)] * 2 + [(1, "b")] * 4
+    odd = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 16).collect()
+    places = collections.defaultdict(list)
+    for r in odd:
+        places[r.shard].append(r.slot)
+    assert len(odd) == 9 and all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_rebalancing_edits_the_stored_map(spark, tmp_path):
+    """A second run loads version 1, stores version 2, and moves only rows of the slots that the edit names."""
+    llm.ship(spark)
+    path = f"file://{tmp_path}/map"
+    docs = spark.createDataFrame([(k, "x" * (k * 37 % 900)) for k in range(3000)], "doc_id long, text string")
+    first = {r.doc_id: r for r in sharding.shard_documents(docs, 6, 256, path).collect()}
+    same = {r.doc_id: r for r in sharding.shard_documents(docs, 6, 256, path).collect()}
+    assert {k: (r.shard, r.map_version) for k, r in first.items()} == {k: (r.shard, r.map_version) for k, r in same.items()}
+    grown = {r.doc_id: r for r in sharding.shard_documents(docs, 7, 256, path).collect()}
+    assert sharding.SlotMap.versions(spark, path) == [1, 2] and {r.map_version for r in grown.values()} == {2}
+    old, new = (sharding.SlotMap.load(spark, path, v).shard for v in (1, 2))
+    moved = {s for s in range(256) if old[s] != new[s]}
+    assert moved and all(new[s] == 6 for s in moved)
+    assert all((r.shard == grown[k].shard) == (r.virtual_slot not in moved) for k, r in first.items())
+    load = collections.Counter()
+    for r in grown.values():
+        load[r.shard] += r["size"]
+    assert max(load.values()) < 1.1 * sum(load.values()) / 7
+
+
+def test_scratch_lives_as_long_as_it_is_read(spark):
+    """Two results of the pipeline are both readable; a query leaves only what its frame reads, and settings and views as they were."""
+    import corpus_pipeline
+    from skeinspark.llm import _shared
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, made = spark.conf.get(name), set(_shared._made)
+    spark.range(1).createOrReplaceTempView("orders")
+    a, b = corpus_pipeline.run(spark, SF), corpus_pipeline.run(spark, SF)
+    assert a.count() == b.count() > 0
+    llm.discard(a)
+    llm.discard(b)
+    assert set(_shared._made) == made
+    op1 = llm.queries()["op1_jaccard_join"](spark, SF)
+    assert len(set(_shared._made) - made) == 1 and op1.count() == 200
+    llm.discard(op1)
+    assert set(_shared._made) == made and spark.conf.get(name) == before and spark.table("orders").columns == ["id"]
+
+
+def test_repeats_of_null_and_shared_ids(spark, docs, rows):
+    """Rows in order of id (null last), then of a hash; all words that are cut repeat, and all repeats are cut."""
+    keyed = suffix_dedup._keyed(docs.select("doc_id", "text"))
+    order = sorted({(r.doc_id if r.doc_id is not None else 1 << 63, r.key, r.text or "") for r in keyed.collect()})
+    first, want = {}, collections.defaultdict(set)
+    for d in order:
+        w = split(d[2])
+        for k in range(len(w) - 49):
+            key = tuple(w[k : k + 50])
+            if key not in first:
+                first[key] = (d, k)
+            elif first[key][0] != d or k >= first[key][1] + 50:
+                want[d[1]] |= set(range(k, k + 50))
+    found = suffix_dedup._union(suffix_dedup.repeated_windows(keyed)).collect()
+    got = collections.defaultdict(set)
+    for r in found:
+        got[r.key] |= set(range(r.start, r.stop))
+    assert got == want
+    left = collections.Counter(" ".join(re.findall("[^\x20\x09-\x0d]+", r.text or "")) for r in suffix_dedup.remove_repeats(docs).collect())
+    texts = {d[1]: re.findall("[^\x20\x09-\x0d]+", d[2]) for d in order}
+    assert left == collections.Counter(" ".join(w for k, w in enumerate(texts[r.key]) if k not in want[r.key]) for r in keyed.collect())
+
+
+def test_embeddings_in_long_lists_and_blocks(spark, monkeypatch):
+    """Lists dealt by two pivots and in blocks find what whole lists find; null, repeated and unlike ids and lengths."""
+    llm.ship(spark)
+    rng = np.random.default_rng(15)
+    centre = rng.normal(size=(4, 12))
+    v = [*(centre[k % 4] + rng.normal(size=12) * 0.25 for k in range(400)), *rng.normal(size=(100, 12)), *rng.normal(size=(20, 5))]
+    ids = [*range(500), *(None if k % 2 else 3 for k in range(20))]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<double>").repartition(4)
+    whole = sorted(map(str, embedding_dedup.near_embeddings(df).collect()))
+    monkeypatch.setattr(embedding_dedup, "SPLIT", 20)
+    assert sorted(map(str, embedding_dedup.near_embeddings(df).collect())) == whole
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    assert sorted(map(str, embedding_dedup.near_embeddings(df).collect())) == whole
+    good, link = brute_links([x.tolist() for x in v[:500]])
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_embeddings(df.filter("vec_id is not null")).collect() if r.vec_id != 3}
+    assert sum(got.values()) >= 0.95 * (link.sum() - link[3].sum())
+
+
+@pytest.mark.parametrize("n", [5_000, 200_000])
+def test_recall_of_pivots(n):
+    """Share of pairs at cosines of 0.90 to 0.93 that the index would compare, with as many pivots as ``n`` vectors have."""
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    m = int(embedding_dedup.DENSITY * np.sqrt(n))
+    pivots = embedding_dedup.choose_pivots(unit(rng.normal(size=(4 * m, 64))), m)
+    a, off = unit(rng.normal(size=(1000, 64))), rng.normal(size=(1000, 64))
+    off = unit(off - (off * a).sum(1, keepdims=True) * a)
+    cosine = rng.uniform(0.9, 0.93, (1000, 1))
+    b = cosine * a + np.sqrt(1 - cosine**2) * off
+    x, y = (embedding_dedup.nearest_pivots(v, pivots, embedding_dedup.NEAREST) for v in (a, b))
+    assert ((x[:, :, None] == y[:, None, :]).any(2).sum(1) >= embedding_dedup.SHARED).mean() >= 0.95
