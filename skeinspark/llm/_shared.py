@@ -31,7 +31,7 @@ def return_memory() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no mallopt
         libc = ctypes.CDLL(None)
-        for name, value in ((_M_MMAP_THRESHOLD, 4 << 20), (_M_TRIM_THRESHOLD, 8 << 20), (_M_ARENA_MAX, 2)):
+        for name, value in ((_M_MMAP_THRESHOLD, 4 << 20), (_M_TRIM_THRESHOLD, 4 << 20), (_M_ARENA_MAX, 2)):
             libc.mallopt(name, value)
 
 
@@ -110,7 +110,7 @@ def discard(df: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def bounded_batches(spark: SparkSession, size: str = "8m"):
+def bounded_batches(spark: SparkSession, size: str = "4m"):
     """While jobs run within, Python workers get at most ``size`` of texts at once; afterwards the session is as it was."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)

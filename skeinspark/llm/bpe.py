@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ._shared import ragged
 from ._words import MASKS, eights, mix, slices, span_hashes
 
-#: Distinct pieces a worker remembers, about 60 bytes each, for as long as it lives; of the longest none is remembered.
-REMEMBERED, STEPPED = 700_000, 32
+#: Distinct pieces a worker remembers, about 75 bytes each, for as long as it lives; of the longest none is remembered.
+REMEMBERED, STEPPED = 300_000, 32
 #: Bytes of text encoded at once, about; encoding needs many times that.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 18
 _NEVER = np.int32((1 << 31) - 1)
 _OTHER, _LETTER, _NUMBER, _WHITE = 0, 1, 2, 3
 
@@ -115,7 +115,7 @@ class Table:
     """Rows of 64-bit numbers by a positive key, with open addressing; lookups and insertions of whole arrays."""
 
     def __init__(self, entries: int, width: int = 1):
-        self.bits = max(4, int(2 * max(entries, 1) - 1).bit_length())
+        self.bits = max(4, int(3 * entries // 2).bit_length())
         self.keys, self.rows = np.zeros(1 << self.bits, np.int64), np.zeros((1 << self.bits, width), np.int64)
         self.used = 0
 
@@ -145,7 +145,7 @@ class Table:
         if 3 * (self.used + len(keys)) > 2 * len(self.keys):
             some = self.keys != 0
             old, kept = self.keys[some], self.rows[some]
-            self.__init__(2 * (self.used + len(keys)), self.rows.shape[1])
+            self.__init__(self.used + len(keys), self.rows.shape[1])
             self.put(old, kept)
         rows = rows.reshape(len(keys), self.rows.shape[1])
         slot, live = self._slot(keys), np.arange(len(keys))

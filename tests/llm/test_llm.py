@@ -459,6 +459,30 @@ def test_pipeline(spark):
     assert kept <= {r.i for r in best} and len(kept) > 0.7 * len(best)
 
 
+def test_pipeline_against_brute_force(spark, library):
+    """Each document's words after all stages, by brute force but for the scores of the classifier."""
+    import corpus_pipeline
+
+    words = lambda text: re.findall("[^\x20\x09-\x0d]+", text or "")
+    table, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r.doc_id for r in quality.classify(table, labels).collect() if r.score >= quality.THRESHOLD}
+    last = {}
+    for r in table.collect():
+        if r.doc_id in good:
+            last[r.text] = max(r.doc_id, last.get(r.text, r.doc_id))
+    rows = [(i, x) for x, i in last.items()]
+    rows = [(i, x) for (i, x), (_, _, c) in zip(rows, brute_components(rows)) if i == c]
+    cut = {d[0]: s for d, s in brute_repeats(rows).items()}
+    want = {i: [w for k, w in enumerate(words(x)) if k not in cut.get(i, ())] for i, x in rows}
+    out = corpus_pipeline.run(spark, SF)
+    ids = collections.defaultdict(list)
+    for r in sorted(out.collect(), key=lambda r: (r.doc_id, r.start)):
+        ids[r.doc_id] += np.frombuffer(bytes(r.ids), "<u4").tolist()
+    llm.discard(out)
+    assert all(x[-1] == 1 for x in ids.values())
+    assert {i: words(library.decode(x[:-1], skip_special_tokens=False)) for i, x in ids.items()} == want
+
+
 def test_registered_queries(spark):
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in llm.queries()) == list(range(1, 11))
     assert set(llm.oracle_sql()) <= set(llm.queries())
