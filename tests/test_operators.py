@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinspark.operators.joins import asof_join, interval_join, range_join, salted_join
+from skeinspark.operators.nearest import nearest
+from skeinspark.operators.quantiles import exact_quantiles
 from skeinspark.operators.sorting import placed
 from skeinspark.plans import catalogue
 from skeinspark.sources import formats
@@ -98,3 +100,60 @@ def test_table_udf_meets_whole_texts(spark):
     for r in catalogue.queries()["x3_table_udf_documents"](spark, SF).collect():
         got.setdefault(r.doc_id, {})[r.part] = r.word
     assert {k: " ".join(w[i] for i in sorted(w)) for k, w in got.items()} == docs
+
+
+def test_exact_quantiles(spark):
+    """Against numpy: ties, nulls, NaN, a null group, a group without values, and values far apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=301).tolist(), "b": [5.0] * 40 + [7.0], "c": [1e300, -1e300, 0.0, 1e-300], None: rng.integers(0, 9, 50).astype(float).tolist(), "d": []}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("d", None), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    wanted = {"m": ("v", 0.5, "cont"), "q": ("v", 0.9, "disc"), "low": ("v", 0.0, "cont"), "top": ("v", 1.0, "disc")}
+    got = {r.g: r for r in exact_quantiles(df, "g", wanted).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        want = [None] * 4 if not vs else [float(np.percentile(vs, 50)), float(np.percentile(vs, 90, method="inverted_cdf")), min(vs), max(vs)]
+        assert [got[g].m, got[g].q, got[g].low, got[g].top] == (want if not vs else pytest.approx(want, rel=1e-12))
+    assert exact_quantiles(df.limit(0), "g", wanted).count() == 0
+
+
+def test_range_join_of_wide_ranges(spark):
+    points = [(k, float(k * 37 % 1000)) for k in range(300)]
+    ranges = [(k, float(k * 91 % 900), float(k * 91 % 900) + w) for k, w in enumerate([0.0, 0.5, 3.0, 10.0, 11.0, 400.0, 1e6])]
+    a, b = spark.createDataFrame(points, "id int, x double"), spark.createDataFrame(ranges, "r int, low double, high double")
+    got = sorted((r.id, r.r) for r in range_join(a, b, "x", "low", "high", 10).collect())
+    assert got == sorted((i, r) for i, x in points for r, lo, hi in ranges if lo <= x <= hi)
+    assert range_join(a, b.limit(0), "x", "low", "high", 10).count() == 0
+
+
+def test_salted_join_of_a_hot_key(spark):
+    a = spark.createDataFrame([(7 if k % 3 else k, k) for k in range(900)] + [(None, -1)], "k long, id long")
+    b = spark.createDataFrame([(7, "x"), (7, "y"), (3, "z"), (None, "n")], "k long, v string")
+    assert sorted(map(tuple, salted_join(a, b, "k", 8).collect())) == sorted(map(tuple, a.join(b, "k").collect()))
+    assert salted_join(a.limit(0), b, "k", 8).count() == 0
+
+
+def test_asof_join_by_several_keys_and_values(spark):
+    a = spark.createDataFrame([("a", 1, at(5)), ("a", 2, at(5)), ("b", 1, at(5))], "k string, j int, t timestamp_ntz")
+    b = spark.createDataFrame([("a", 1, at(1), 1.0, "x"), ("a", 2, at(6), 2.0, "y"), ("b", 1, at(-30), 3.0, None)], "k string, j int, u timestamp_ntz, v double, w string")
+    got = {(r.k, r.j): (r.p, r.q) for r in asof_join(a, b, ["k", "j"], "t", "u", ["v", "w"], alias=["p", "q"]).collect()}
+    assert got == {("a", 1): (1.0, "x"), ("a", 2): (None, None), ("b", 1): (3.0, None)}
+    with pytest.raises(ValueError):
+        asof_join(a, b, "k", "t", "u", "v", alias="t")
+
+
+def test_nearest(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 1.0]), (5, [0.0, 0.0]), (6, None), (7, [1.0, None]), (8, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, e array<double>")
+    got = [(r.query_id, r.id, r.similarity, r.place) for r in nearest(df.filter("id in (1, 3, 6)"), df, "id", "e", 2).collect()]
+    assert sorted(got) == [(1, 2, 1.0, 1), (1, 4, 0.707107, 2), (3, 1, 0.0, 2), (3, 4, 0.707107, 1)]
+    assert nearest(df.limit(0), df, "id", "e", 2).count() == 0
+
+
+def test_views_of_the_session_stay(spark):
+    spark.range(1).createOrReplaceTempView("lineitem")
+    for name in ("a9_filtered_having", "j11_exists", "a5_within_group"):
+        assert catalogue.queries()[name](spark, SF).count() > 0
+    assert spark.table("lineitem").columns == ["id"]
