@@ -595,7 +595,9 @@ def decode_documents(rows: DataFrame, path: str | None = None) -> DataFrame:
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode and decode every row in one pass: doc_id, n_tokens, and checksums of the ids and of the decoded text.
 
-    Null counts as empty: no tokens, checksums of the empty string. Repeated rows each give a row.
+    Null counts as empty: no tokens, checksums of the empty string. Repeated rows and null ids each
+    give a row. A very long text is a slice of its own, read whole. An empty table gives no rows.
+    Other columns are not read.
     """
     path = path or default_vocabulary()
 

@@ -178,7 +178,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = COSINE, shared: int = SH
 
     Null and zero vectors, and those with null or non-finite components, link with nothing.
     Vectors of different lengths are never compared. Equal vectors link with each other, and
-    repeated rows each count. Rows with a null id link like others; a component without any
+    repeated rows each count. Vectors may have any length. Rows with a null id link like others; a component without any
     id is null. An empty table gives no rows. Other columns are not read.
     """
 

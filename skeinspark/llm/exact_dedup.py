@@ -63,6 +63,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fi
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, that of the largest doc_id; repeated rows become one.
 
+    Null texts count as empty, null ids lose to any other, very long texts are hashed whole, and
+    an empty table gives no rows. All columns stay, whatever their names.
     Rows of other texts pass straight through, and further copies are dropped where they are;
     of the texts only those that stay in a group shuffle, and those that marks can't tell apart.
     """

@@ -465,7 +465,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, links: bool = False
     row has no shingles and is its own component. ``component_id`` is the smallest doc_id
     reachable by links. Rows with a null id link like others, and have a null component
     where no row in it has an id. Rows that repeat an id count as one document in links.
-    An empty table gives no rows. Other columns of ``docs`` are not read.
+    Very long texts are a slice of their own and read whole. An empty table gives no rows. Other
+    columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     texts = docs.select("text")
@@ -527,7 +528,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, links: bool = False
 
 @settled
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id; rows without any id in their component stay."""
+    """``docs`` with one document of each component, that of the smallest doc_id; all columns stay.
+
+    Null and empty texts and those without words are linked with nothing and stay. Rows with a
+    null id go where their component has an id, and stay where it has none. Rows that repeat the
+    staying id stay with it. An empty table gives no rows.
+    """
     found = near_duplicates(docs, percent)
     dropped = stage(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("component_id").isNotNull()).select(F.col("row").alias("__row")).distinct(), "dropped")
     rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))

@@ -134,7 +134,7 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, path: str | None = Non
 
     A document is its ids and then ``END``; it is cut wherever a sequence ends, and every id
     lies in one piece. Null and empty texts are the single id ``END``. Null ids and repeated
-    rows are packed like others. An empty table gives no rows. Other columns are not read.
+    rows are packed like others, very long texts whole. An empty table gives no rows. Other columns are not read.
     ``ids`` are unsigned little-endian 32-bit integers.
     """
     path = path or default_vocabulary()

@@ -331,8 +331,10 @@ def _union(found: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """``docs`` with the spans of ``repeated_spans`` cut out of ``text``; all other columns and rows stay.
 
-    A cut takes the words of the span and the white space after them. Only rows that may
-    have spans are shuffled, told by a table of fixed size; the rest pass straight through.
+    A cut takes the words of the span and the white space after them. Null texts stay null, and
+    null, empty and short ones have no spans; rows that repeat id and text are cut alike; null
+    ids come last in order. An empty table gives no rows. Only rows that may have spans are
+    shuffled, told by a table of fixed size; the rest pass straight through.
     """
     spark = docs.sparkSession
     rows = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
