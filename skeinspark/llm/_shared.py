@@ -109,16 +109,19 @@ def discard(df: DataFrame) -> None:
         forget(path)
 
 
+#: The session's bound on batches for Python workers, and what operators set it to.
+BATCHES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
 @contextlib.contextmanager
-def bounded_batches(spark: SparkSession, size: str = "4m"):
-    """While jobs run within, Python workers get at most ``size`` of texts at once; afterwards the session is as it was."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, size)
+def bounded_batches(spark: SparkSession):
+    """While jobs run within, Python workers get at most ``BATCH`` of rows at once; afterwards the session is as it was."""
+    before = spark.conf.get(BATCHES)
+    spark.conf.set(BATCHES, BATCH)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCHES, before)
 
 
 def local_path(path: str) -> str:

@@ -23,13 +23,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bit_table, bucket_count, dealt, has_bits, pack, ragged, settled, stage, text_bytes, tidy, unpack
+from ._shared import bit_table, bucket_count, dealt, has_bits, pack, ragged, settled, split_by_marks, stage, text_bytes, tidy, unpack
 from ._words import U64, gram_hashes, mix, slices, words
 
 #: Words of a repeated passage at least, and of the grams that anchors are chosen from.
@@ -336,16 +335,9 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
     ids come last in order. An empty table gives no rows. Only rows that may have spans are
     shuffled, told by a table of fixed size; the rest pass straight through.
     """
-    spark = docs.sparkSession
     rows = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     spans = stage(_union(repeated_windows(rows.select(F.col("__key").alias("key"), "doc_id", "text"), min_words, gram)), "spans")
-    maybe = spark.sparkContext.broadcast(bit_table(spans.select(F.col("key").alias("mark"))))
-
-    @F.pandas_udf("boolean")
-    def listed(key: pd.Series) -> pd.Series:
-        return pd.Series(has_bits(maybe.value, key.to_numpy()))
-
-    told = rows.withColumn("__maybe", listed("__key"))
+    clear, maybe = split_by_marks(rows, "__key", spans.select(F.col("key").alias("__key")).distinct())
     lists = spans.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
     names = docs.columns
     schema = docs.schema
@@ -367,8 +359,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
             k = names.index("text")
             yield pa.record_batch([pa.array(texts, batch.schema.field("text").type) if j == k else batch.column(c) for j, c in enumerate(names)], names)
 
-    mended = told.filter("__maybe").join(lists, "__key", "left").select(*names, "__spans").mapInArrow(cut, schema)
-    return told.filter("not __maybe").select(*names).unionByName(mended)
+    mended = maybe.join(lists, "__key", "left").select(*names, "__spans").mapInArrow(cut, schema)
+    return clear.select(*names).unionByName(mended)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
