@@ -5,10 +5,12 @@ Each stage is written to the shared folder and read again by the next.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinspark.llm import _shared, shipped
+from skeinspark.llm import _shared, ship, shipped
 from skeinspark.llm.exact_dedup import drop_copies
 from skeinspark.llm.jaccard_join import drop_near_copies
 from skeinspark.llm.packing import pack_documents
@@ -16,28 +18,40 @@ from skeinspark.llm.quality import drop_rejected
 from skeinspark.llm.suffix_dedup import remove_repeats
 
 
-@shipped
+def _stage(function):
+    """A stage. Its last job, which the caller starts, needs small batches as well, so the session's bound on Arrow batches stays lowered; ``run`` sets it back."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        spark.conf.set(_shared.BATCHES, _shared.BATCH)
+        return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-@shipped
+@_stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_copies(docs)
 
 
-@shipped
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_copies(docs)
 
 
-@shipped
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = remove_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast(cut.schema["n_chars"].dataType)) if "n_chars" in cut.columns else cut
 
 
-@shipped
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
