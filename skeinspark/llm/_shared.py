@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 _made: dict[str, SparkSession] = {}
 #: Folders that stay to the end of the process.
@@ -181,6 +182,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a range that ``numbered`` sorts in one task, about.
+RANGE_ROWS = 1 << 20
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Every row with its place (long, from 1) in ``order``, where no task holds all rows.
+
+    Rows are dealt to ranges and numbered within each; a range begins after the rows of those
+    before it, of which there is one counted row each. Rows that ``order`` doesn't tell apart
+    are dealt by a column of their own, so many equal ones are no hot range either.
+    """
+    rows = stage(rows.withColumn("tie", F.monotonically_increasing_id()), "unordered")
+    pieces = max(partitions(rows.sparkSession), rows.count() // RANGE_ROWS)
+    dealt = stage(rows.repartitionByRange(pieces, *order, F.col("tie")).withColumn("piece", F.spark_partition_id()), "ranges")
+    counts, starts, before = {r["piece"]: r["n"] for r in dealt.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).collect()}, [], 0
+    for piece in sorted(counts):
+        starts.append((piece, before))
+        before += counts[piece]
+    begins = F.broadcast(rows.sparkSession.createDataFrame(starts, "piece int, begin long"))  # a row for each range
+    place = F.row_number().over(W.Window.partitionBy("piece").orderBy(*order, "tie"))
+    return dealt.withColumn(name, place.cast("long")).join(begins, "piece").withColumn(name, F.col(name) + F.col("begin")).drop("piece", "begin", "tie")
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of the texts: one narrow JVM aggregate."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("b")).first()

@@ -22,6 +22,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that end words of letters (A-Z, a-z and all beyond ASCII), and those that end words of letters and digits.
+NO_LETTER = np.zeros(256, dtype=bool)
+NO_LETTER[:128] = True
+NO_LETTER[65:91] = NO_LETTER[97:123] = False
+NO_LETTER_OR_DIGIT = NO_LETTER.copy()
+NO_LETTER_OR_DIGIT[48:58] = False
 
 MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 #: Bytes of a span that are hashed in 8-byte steps; longer ones go to a library's hash.
@@ -123,12 +129,12 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
-def words(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> Words:
-    """Split texts into words and hash them."""
+def words(data: np.ndarray, offs: np.ndarray, lower: bool = True, breaks: np.ndarray = _SPACE) -> Words:
+    """Split texts into words, runs of bytes that ``breaks`` does not name, and hash them."""
     if lower:
         data = _LOWER[data]
     inside = np.zeros(len(data) + 2, dtype=bool)
-    np.logical_not(_SPACE[data], out=inside[1:-1])
+    np.logical_not(breaks[data], out=inside[1:-1])
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[offs] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
