@@ -11,7 +11,7 @@ from pathlib import Path
 
 from . import _shared
 
-_MODULES = ("jaccard_join", "packing", "suffix_dedup", "language_model", "embedding_dedup", "exact_dedup", "quality", "sharding", "bpe", "language")
+_MODULES = ("jaccard_join", "packing", "suffix_dedup", "language_model", "embedding_dedup", "exact_dedup", "quality", "sharding", "bpe", "language", "source_audit", "mixing", "importance")
 
 
 def ship(spark) -> None:
