@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-_MODULES = ("relational", "aggregates", "scalars", "streams")
+_MODULES = ("relational", "aggregates", "scalars", "streams", "texts")
 
 
 def queries() -> dict[str, Callable]:
