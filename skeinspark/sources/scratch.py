@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, SparkSession] = {}
 
@@ -28,6 +28,13 @@ def forget(path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder once and read from there, so that what follows reads the same rows and a lost executor costs only its tasks."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @atexit.register
 def _sweep() -> None:
     for path in list(_made):
