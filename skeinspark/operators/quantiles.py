@@ -1,75 +1,96 @@
-"""Exact quantiles of groups of any size, where no task gathers a group's values."""
+"""Exact quantiles of groups of any size and number, by order statistics on the values' own types."""
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-#: Counted ranges of values in a round, groups at most, and rounds at most: doubles are told apart before that.
-BUCKETS, MOST_GROUPS, ROUNDS = 1024, 10_000, 64
+from skeinspark.operators.joins import small
+from skeinspark.sources.scratch import staged
+
+#: Distinct values of a range that is sorted in one task, about.
+RANGE_ROWS = 1 << 20
+_FLOATS = (T.FloatType, T.DoubleType)
+_EXACT = (T.LongType, T.DecimalType)
+_TIMES = (T.TimestampType, T.TimestampNTZType)
+
+
+def _between(a: Column, b: Column, part: Column, kind: T.DataType) -> Column:
+    """The value at ``part`` (0 to 1) between two neighbours: of longs and decimals a decimal, of times a time, else a double."""
+    if isinstance(kind, _EXACT):
+        a, b = (c.cast("decimal(38,9)" if isinstance(kind, T.DecimalType) else "decimal(29,9)") for c in (a, b))
+        return (a + ((b - a) * part.cast("decimal(9,8)"))).cast("decimal(38,9)")
+    if isinstance(kind, _TIMES):
+        return F.when(part == 0, a).otherwise(a + (b - a) * part)
+    if not isinstance(kind, T.NumericType):
+        raise ValueError(f"values between two of {kind.simpleString()} are not defined; use disc")
+    a, b = a.cast("double"), b.cast("double")
+    endless = (F.abs(a) == float("inf")) | (F.abs(b) == float("inf"))
+    return F.when((part == 0) | (a == b), a).when(endless, a * (1 - part) + b * part).otherwise(a + (b - a) * part)
+
+
+def _ranks(wanted: list[tuple[str, float, str]], n: Column) -> list[Column]:
+    """The ranks (from 0) that the wanted shares of ``n`` values need."""
+    out = []
+    for _, share, kind in wanted:
+        at = F.lit(share) * (n - 1)
+        out += [F.floor(at), F.ceil(at)] if kind == "cont" else [F.greatest(F.lit(0), F.ceil(F.lit(share) * n) - 1)]
+    return [c.cast("long") for c in out]
+
+
+def _of_column(rows: DataFrame, group: str, column: str, wanted: list[tuple[str, float, str]]) -> DataFrame:
+    kind = rows.schema[column].dataType
+    value = F.when(~F.isnan(F.col(column)), F.col(column)) if isinstance(kind, _FLOATS) else F.col(column)
+    # One row for each distinct value, so that one that a third of all rows have is no hot range.
+    counted = staged(rows.select(F.col(group).alias("g"), value.alias("v")).groupBy("g", "v").agg(F.count("v").alias("n")), "values")
+    pieces = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), counted.count() // RANGE_ROWS)
+    ranged = staged(counted.repartitionByRange(pieces, "g", "v").withColumn("piece", F.spark_partition_id()), "ranges")
+    same = W.partitionBy("g")  # a row for each range that a group has values in
+    held = ranged.groupBy("g", "piece").agg(F.sum("n").alias("n"))
+    held = staged(held.select("g", "piece", "n", F.sum("n").over(same).alias("total"), F.coalesce(F.sum("n").over(same.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before")), "held")
+    needs = reduce(lambda x, y: x | y, [(r >= F.col("before")) & (r < F.col("before") + F.col("n")) for r in _ranks(wanted, F.col("total"))])
+    need = held.filter((F.col("total") > 0) & needs).select(F.col("g").alias("of"), F.col("piece").alias("in"), "total", "before")
+    near = ranged.join(small(need), F.col("g").eqNullSafe(F.col("of")) & (F.col("piece") == F.col("in")))
+    upto = F.col("before") + F.sum("n").over(W.partitionBy("g", "piece").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    told = near.filter("v is not null").withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
+    at = lambda r: F.max(F.when((r >= F.col("from")) & (r < F.col("upto")), F.col("v")))
+    found = told.groupBy("g").agg(F.max("total").alias("total"), *(at(r).alias(f"r{k}") for k, r in enumerate(_ranks(wanted, F.col("total")))))
+    out, k = [], 0
+    for name, share, how in wanted:
+        if how == "cont":
+            part = F.lit(share) * (F.col("total") - 1)
+            out.append(_between(F.col(f"r{k}"), F.col(f"r{k + 1}"), part - F.floor(part), kind).alias(name))
+        else:
+            out.append(F.col(f"r{k}").alias(name))
+        k += 2 if how == "cont" else 1
+    groups = held.select(F.col("g").alias("of")).distinct()
+    return groups.join(found.select("g", *out), F.col("of").eqNullSafe(F.col("g")), "left").select(F.col("of").alias("g"), *(f"`{name}`" for name, _, _ in wanted))
 
 
 def exact_quantiles(rows: DataFrame, group: str, wanted: dict[str, tuple[str, float, str]]) -> DataFrame:
-    """One row per group with quantiles: ``wanted`` has column, share and kind (``cont`` or ``disc``) by name of the result.
+    """One row per group with quantiles: ``wanted`` has column, share (0 to 1) and kind (``cont`` or ``disc``) by name of the result.
 
-    Values are counted in ranges; of the range that holds a wanted rank, the values are counted
-    again in finer ones, until a range is a single value. Each round is one aggregate with
-    partial counts in every task, and ``BUCKETS`` counts for each rank reach the driver. So
-    groups must be few (``MOST_GROUPS``). Nulls and NaN count as no value; a group without
-    values has null quantiles. Null is a group of its own.
+    ``disc`` is a value of the column, in its type, whatever that is. ``cont`` lies between two neighbours: of
+    bigints and decimals a decimal of nine digits, of timestamps a timestamp, of other numbers a double;
+    other types have none, which is an error. Infinite values count as such; between an infinite value and
+    a finite one lies the infinite one, between two infinite ones NaN. Nulls and NaN count as no
+    value; a group without values has null quantiles. Null is a group of its own, and an empty table has none.
+
+    Distinct values are counted, dealt to ranges of group and value, and a range's counts tell at which
+    rank it begins; only ranges with a wanted rank are sorted. So neither a group nor a value
+    meets in one task, groups may be as many as rows, and nothing goes through the driver.
     """
-    spark = rows.sparkSession
-    columns = sorted({c for c, _, _ in wanted.values()})
-    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    sums = [f(value[c]).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
-    groups = rows.groupBy(F.col(group).alias("g")).agg(*sums).limit(MOST_GROUPS + 1).collect()
-    if len(groups) > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} groups: use percentile, whose groups are then small")
-    # Wanted ranks (from 0): group, column, rank; the range that holds the value, and how many values lie below it.
-    open_: dict[tuple, list] = {}
-    for g in groups:
-        for column, share, kind in wanted.values():
-            k = columns.index(column)
-            if n := g[f"n{k}"]:
-                at = share * (n - 1)
-                for rank in {math.floor(at), math.ceil(at)} if kind == "cont" else {max(0, math.ceil(share * n) - 1)}:
-                    open_[g["g"], k, rank] = [g[f"lo{k}"], g[f"hi{k}"], 0]
-    found: dict[tuple, float] = {}
-    kinds = f"g {rows.schema[group].dataType.simpleString()}, k int, rank long, lo double, hi double"
-    long = rows.select(F.col(group).alias("g"), F.posexplode(F.array(*(value[c] for c in columns))).alias("k", "v")).filter("v is not null")
-    for _ in range(ROUNDS):
-        found |= {key: lo for key, (lo, hi, _) in open_.items() if lo == hi}
-        open_ = {key: v for key, v in open_.items() if v[0] != v[1]}
-        if not open_:
-            break
-        targets = spark.createDataFrame([(*key, lo, hi) for key, (lo, hi, _) in open_.items()], kinds)
-        near = long.alias("a").join(F.broadcast(targets).alias("b"), F.expr("a.g <=> b.g and a.k = b.k and v between lo and hi"))
-        place = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BUCKETS), F.lit(BUCKETS - 1))
-        counts: dict[tuple, list] = {}
-        for r in near.groupBy("b.g", "b.k", "rank", place.alias("place")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
-            counts.setdefault((r["g"], r["k"], r["rank"]), []).append((r["place"], r["n"], r["lo"], r["hi"]))
-        for key, each in counts.items():
-            below = open_[key][2]
-            for _, n, lo, hi in sorted(each):
-                if key[2] < below + n:
-                    open_[key] = [lo, hi, below]
-                    break
-                below += n
-    out = []
-    for g in groups:
-        row = [g["g"]]
-        for column, share, kind in wanted.values():
-            k = columns.index(column)
-            n = g[f"n{k}"]
-            if not n:
-                row.append(None)
-            elif kind == "disc":
-                row.append(found[g["g"], k, max(0, math.ceil(share * n) - 1)])
-            else:
-                at = share * (n - 1)
-                a, b = found[g["g"], k, math.floor(at)], found[g["g"], k, math.ceil(at)]
-                row.append(a + (b - a) * (at - math.floor(at)))
-        out.append(tuple(row))
-    return spark.createDataFrame(out, f"`{group}` {rows.schema[group].dataType.simpleString()}, " + ", ".join(f"`{n}` double" for n in wanted))
+    columns: dict[str, list] = {}
+    for name, (column, share, kind) in wanted.items():
+        if kind not in ("cont", "disc") or not 0 <= share <= 1:
+            raise ValueError(f"{name}: a share is 0 to 1, a kind cont or disc")
+        columns.setdefault(column, []).append((name, share, kind))
+    parts = [_of_column(rows, group, c, w) for c, w in columns.items()]
+    out = parts[0].select(F.col("g").alias(group), *(f"`{n}`" for n, _, _ in columns[next(iter(columns))]))
+    for part in parts[1:]:
+        out = out.join(part.withColumnRenamed("g", "same group"), F.col(f"`{group}`").eqNullSafe(F.col("same group"))).drop("same group")
+    return out.select(F.col(f"`{group}`"), *(f"`{n}`" for n in wanted))

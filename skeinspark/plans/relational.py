@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinspark.functions.columns import money
-from skeinspark.operators.joins import asof_join, interval_join, range_join, salted_join, small
+from skeinspark.operators.joins import asof_join, asof_within, interval_join, range_join, salted_join, small
 from skeinspark.operators.sorting import placed
 from skeinspark.plans.registry import Registry
 from skeinspark.sources import formats
@@ -180,8 +180,22 @@ WHERE l.event_type = 'purchase'
 """)
 def j9_asof(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    return asof_within(e, F.col("event_type") == "purchase", F.col("event_type") == "view", "user_id", "ts", "value", "last_view").select("event_id", "user_id", "last_view")
+
+
+@query("""
+WITH v AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY ALL),
+p AS (SELECT * FROM events WHERE event_type = 'purchase'),
+a AS (SELECT p.event_id, p.user_id, p.ts, r.ts AS before, r.value AS back FROM p ASOF LEFT JOIN v r ON p.user_id = r.user_id AND p.ts >= r.ts),
+b AS (SELECT p.event_id, r.ts AS after, r.value AS forth FROM p ASOF LEFT JOIN v r ON p.user_id = r.user_id AND p.ts <= r.ts),
+c AS (SELECT event_id, user_id, ts, CASE WHEN before >= ts - INTERVAL 2 HOUR THEN before END AS before, back, CASE WHEN after <= ts + INTERVAL 2 HOUR THEN after END AS after, forth FROM a JOIN b USING (event_id))
+SELECT event_id, user_id, CASE WHEN after IS NOT NULL AND (before IS NULL OR after - ts < ts - before) THEN forth WHEN before IS NOT NULL THEN back END AS nearest_view FROM c
+""")
+def j9_asof_nearest(spark, sf_dir):
+    """The view that is nearest in time to each purchase, before or after it, within two hours."""
+    e = table(spark, sf_dir, "events")
     buys = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    return asof_join(buys, e.filter("event_type = 'view'"), "user_id", "ts", "ts", "value", alias="last_view").select("event_id", "user_id", "last_view")
+    return asof_join(buys, e.filter("event_type = 'view'"), "user_id", "ts", "ts", "value", alias="nearest_view", direction="nearest", tolerance="2 hours").select("event_id", "user_id", "nearest_view")
 
 
 @query("""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skeinspark.plans.registry import Registry
 from skeinspark.streaming import streams as S
+from skeinspark.streaming.stateful import timed_sessions
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -45,6 +46,21 @@ def t7_custom_state(spark, sf_dir):
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
 
 
+@query("""
+WITH a AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM a),
+k AS (SELECT user_id, s, event_type, count(*) AS c FROM b GROUP BY ALL),
+m AS (SELECT user_id, s, count(*) AS kinds, arg_min(event_type, (-c, event_type)) AS most FROM k GROUP BY ALL)
+SELECT * FROM (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS finish, count(*) AS n, any_value(kinds) AS kinds, any_value(most) AS most, round(sum(value), 4) AS total
+  FROM b JOIN m USING (user_id, s) GROUP BY user_id, s)
+WHERE finish < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)
+""")
+def t7_timed_sessions(spark, sf_dir):
+    """State in a list, a map and a value for each user, emitted and dropped by timers in event time."""
+    out = S.run_to_end(timed_sessions(_events(spark, sf_dir)), "timers", S.ROCKS)
+    return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "finish")), "n", "kinds", "most", F.round("total", 4).alias("total"))
+
+
 @query("""
 WITH a AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM a)

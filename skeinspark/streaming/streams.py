@@ -38,12 +38,28 @@ def fed_in_order(spark: SparkSession, path: str, parts: list[str], **terms: str)
     return events(spark, f"{folder}/*", files_per_trigger=1)
 
 
-def run_to_end(stream: DataFrame, name: str) -> DataFrame:
-    """Process all that is there in append mode into Parquet files, exactly once, and read them."""
+#: The setting that names the store of state, and the store that keeps it outside the heap, as state with timers needs.
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_end(stream: DataFrame, name: str, store: str | None = None, told: list | None = None) -> DataFrame:
+    """Process all that is there in append mode into Parquet files, exactly once, and read them.
+
+    ``store`` names a state store for this run; the session's setting stays. ``told`` gets the progress of the batches.
+    """
     spark = stream.sparkSession
     path = scratch(spark, f"stream-{name}")
-    started = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    before = spark.conf.get(STORE)
+    try:
+        if store:
+            spark.conf.set(STORE, store)
+        started = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    finally:
+        if store:
+            spark.conf.set(STORE, before)
     started.awaitTermination()
+    if told is not None:
+        told += started.recentProgress
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 

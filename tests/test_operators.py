@@ -157,3 +157,77 @@ def test_views_of_the_session_stay(spark):
     for name in ("a9_filtered_having", "j11_exists", "a5_within_group"):
         assert catalogue.queries()[name](spark, SF).count() > 0
     assert spark.table("lineitem").columns == ["id"]
+
+
+def asof_brute(left, right, direction, tolerance):
+    out = []
+    for k, t in left:
+        near = None
+        able = [(u, v) for j, u, v in right if None not in (k, t, u) and j == k]
+        back = max(((u, v) for u, v in able if u <= t), default=None)
+        ahead = min(((u, -v) for u, v in able if u >= t), default=None)
+        ahead = ahead and (ahead[0], -ahead[1])
+        if tolerance is not None:
+            back, ahead = (x if x and abs(x[0] - t) <= tolerance else None for x in (back, ahead))
+        if direction == "nearest":
+            near = ahead if ahead and (not back or ahead[0] - t < t - back[0]) else back
+        else:
+            near = back if direction == "backward" else ahead
+        out.append((k, t, near and near[1]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+@pytest.mark.parametrize("tolerance", [None, 3])
+def test_asof_directions(spark, direction, tolerance):
+    """Against comparing everything: a hot key, ties, rows at a bucket's border, empty buckets, nulls, and clashing names."""
+    import random
+
+    r = random.Random(4)
+    left = [(r.choice("aaab") if k % 9 else None, r.choice([None, *range(0, 400, 6)])) for k in range(150)] + [("c", 24), ("c", 48), ("c", 24)]
+    right = [(r.choice("aab") if k % 9 else None, r.choice([None, *range(0, 400, 4)]), float(k)) for k in range(60)] + [("c", 24, 1.0), ("c", 24, 2.0), ("c", 72, 3.0)]
+    clash = ("row", "t", "k0", "v", "b", "asks", "backward", "a.b")
+    a = spark.createDataFrame([(k, at(t)) for k, t in left], "k string, time timestamp_ntz").withColumns({c: F.lit("clash") for c in clash})
+    b = spark.createDataFrame([(k, at(t), v) for k, t, v in right], "k string, u timestamp_ntz, x double").withColumns({c: F.lit("clash") for c in clash})
+    told = asof_join(a, b, "k", "time", "u", "x", direction=direction, tolerance=None if tolerance is None else f"{tolerance} hours")
+    assert told.columns == [*a.columns, "x"] and {x["a.b"] for x in told.select("`a.b`").collect()} == {"clash"}
+    want = [(k, at(t), v) for k, t, v in asof_brute(left, right, direction, tolerance)]
+    assert sorted(map(str, ((x.k, x.time, x.x) for x in told.collect()))) == sorted(map(str, want))
+
+
+def test_asof_within_reads_and_deals_the_rows_once(spark):
+    e = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", "ts", "event_type", "value")
+    plans = []
+    from skeinspark.operators import joins
+
+    real = joins.staged
+    joins.staged = lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, name))[1]
+    try:
+        got = joins.asof_within(e, F.col("event_type") == "purchase", F.col("event_type") == "view", "user_id", "ts", "value", "last").count()
+    finally:
+        joins.staged = real
+    assert got == e.filter("event_type = 'purchase'").count()
+    assert plans[0].count("FileScan") == 1 and plans[0].count("Exchange hashpartitioning") == 1
+
+
+def test_exact_quantiles_of_types(spark):
+    """Bigints beyond doubles, decimals, infinities, times, strings, and far more groups than fit a driver's list."""
+    from decimal import Decimal
+
+    big = 2**53
+    inf = float("inf")
+    rows = [(1, big, Decimal("0.10"), -inf, T0, "a"), (1, big + 1, Decimal("0.20"), inf, T0 + timedelta(hours=1), "b"), (1, big + 1, Decimal("0.30"), 5.0, T0 + timedelta(hours=4), "c"), (2, big + 1, None, inf, None, None), (2, big + 2, None, inf, None, None)]
+    df = spark.createDataFrame(rows, "g int, l bigint, d decimal(20,2), x double, t timestamp_ntz, s string")
+    wanted = {"l_cont": ("l", 0.5, "cont"), "l_disc": ("l", 0.5, "disc"), "d_cont": ("d", 0.25, "cont"), "d_disc": ("d", 0.9, "disc"), "x_low": ("x", 0.25, "cont"), "x_mid": ("x", 0.5, "cont"), "x_top": ("x", 1.0, "disc"), "t_cont": ("t", 0.75, "cont"), "s_disc": ("s", 0.5, "disc")}
+    out = exact_quantiles(df, "g", wanted)
+    got = {r.g: r for r in out.collect()}
+    assert got[1].l_cont == big + 1 and got[1].l_disc == big + 1 and got[2].l_cont == Decimal(big) + Decimal("1.5") and got[2].l_disc == big + 1
+    assert got[1].d_cont == Decimal("0.15") and got[1].d_disc == Decimal("0.30") and got[2].d_cont is None and got[2].s_disc is None
+    assert (got[1].x_low, got[1].x_mid, got[1].x_top, got[2].x_mid) == (-inf, 5.0, inf, inf)
+    assert got[1].t_cont == T0 + timedelta(hours=2, minutes=30) and got[1].s_disc == "b"
+    assert dict(out.dtypes)["l_disc"] == "bigint" and dict(out.dtypes)["t_cont"] == "timestamp_ntz"
+    with pytest.raises(ValueError):
+        exact_quantiles(df, "g", {"m": ("s", 0.5, "cont")})
+    many = spark.range(60_000).select((F.col("id") % 20_000).alias("g"), F.col("id").alias("v"))
+    told = exact_quantiles(many, "g", {"m": ("v", 0.5, "cont"), "q": ("v", 1.0, "disc")})
+    assert told.count() == 20_000 and told.filter("m <> g + 20000 or q <> g + 40000").count() == 0
