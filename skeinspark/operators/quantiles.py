@@ -42,33 +42,38 @@ def _ranks(wanted: list[tuple[str, float, str]], n: Column) -> list[Column]:
     return [c.cast("long") for c in out]
 
 
-def _of_column(rows: DataFrame, group: str, column: str, wanted: list[tuple[str, float, str]]) -> DataFrame:
-    kind = rows.schema[column].dataType
-    value = F.when(~F.isnan(F.col(column)), F.col(column)) if isinstance(kind, _FLOATS) else F.col(column)
+def _of_kind(rows: DataFrame, group: str, kind: T.DataType, columns: dict[str, list[tuple[str, float, str]]]) -> DataFrame:
+    """Quantiles of the columns of one type: g and the names that are wanted."""
+    value = lambda c: F.when(~F.isnan(F.col(c)), F.col(c)) if isinstance(kind, _FLOATS) else F.col(c)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("c"), value(c).alias("v")) for k, c in enumerate(columns))))
     # One row for each distinct value, so that one that a third of all rows have is no hot range.
-    counted = staged(rows.select(F.col(group).alias("g"), value.alias("v")).groupBy("g", "v").agg(F.count("v").alias("n")), "values")
-    pieces = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), counted.count() // RANGE_ROWS)
-    ranged = staged(counted.repartitionByRange(pieces, "g", "v").withColumn("piece", F.spark_partition_id()), "ranges")
-    same = W.partitionBy("g")  # a row for each range that a group has values in
-    held = ranged.groupBy("g", "piece").agg(F.sum("n").alias("n"))
-    held = staged(held.select("g", "piece", "n", F.sum("n").over(same).alias("total"), F.coalesce(F.sum("n").over(same.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before")), "held")
-    needs = reduce(lambda x, y: x | y, [(r >= F.col("before")) & (r < F.col("before") + F.col("n")) for r in _ranks(wanted, F.col("total"))])
-    need = held.filter((F.col("total") > 0) & needs).select(F.col("g").alias("of"), F.col("piece").alias("in"), "total", "before")
-    near = ranged.join(small(need), F.col("g").eqNullSafe(F.col("of")) & (F.col("piece") == F.col("in")))
-    upto = F.col("before") + F.sum("n").over(W.partitionBy("g", "piece").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    told = near.filter("v is not null").withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
-    at = lambda r: F.max(F.when((r >= F.col("from")) & (r < F.col("upto")), F.col("v")))
-    found = told.groupBy("g").agg(F.max("total").alias("total"), *(at(r).alias(f"r{k}") for k, r in enumerate(_ranks(wanted, F.col("total")))))
-    out, k = [], 0
-    for name, share, how in wanted:
+    counted = rows.select(F.col(group).alias("g"), each.alias("e")).groupBy("g", "e.c", "e.v").agg(F.count("e.v").alias("n"))
+    pieces = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() * len(columns) // RANGE_ROWS)
+    ranged = staged(counted.repartitionByRange(pieces, "g", "c", "v").withColumn("piece", F.spark_partition_id()), "ranges")
+    same = W.partitionBy("g", "c")  # a row for each range that a group has values in
+    held = ranged.groupBy("g", "c", "piece").agg(F.sum("n").alias("n"))
+    upto_piece = F.coalesce(F.sum("n").over(same.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    held = staged(held.select("g", "c", "piece", "n", F.sum("n").over(same).alias("total"), upto_piece.alias("before")), "held")
+    wanted = [(k, *w) for k, ws in enumerate(columns.values()) for w in ws]
+    ranks = [(k, r) for k, ws in enumerate(columns.values()) for r in _ranks(ws, F.col("total"))]
+    needs = reduce(lambda x, y: x | y, [(F.col("c") == k) & (r >= F.col("before")) & (r < F.col("before") + F.col("n")) for k, r in ranks])
+    need = held.filter((F.col("total") > 0) & needs).select(F.col("g").alias("of"), F.col("c").alias("col"), F.col("piece").alias("in"), "total", "before")
+    near = ranged.filter("v is not null").join(small(need), F.col("g").eqNullSafe(F.col("of")) & (F.col("c") == F.col("col")) & (F.col("piece") == F.col("in")))
+    upto = F.col("before") + F.sum("n").over(W.partitionBy("g", "c", "piece").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    told = near.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
+    at = lambda k, r: F.max(F.when((F.col("c") == k) & (r >= F.col("from")) & (r < F.col("upto")), F.col("v")))
+    totals = [F.max(F.when(F.col("c") == k, F.col("total"))).alias(f"n{k}") for k in range(len(columns))]
+    found = told.groupBy("g").agg(*totals, *(at(k, r).alias(f"r{i}") for i, (k, r) in enumerate(ranks)))
+    out, i = [], 0
+    for k, name, share, how in wanted:
         if how == "cont":
-            part = F.lit(share) * (F.col("total") - 1)
-            out.append(_between(F.col(f"r{k}"), F.col(f"r{k + 1}"), part - F.floor(part), kind).alias(name))
+            part = F.lit(share) * (F.col(f"n{k}") - 1)
+            out.append(_between(F.col(f"r{i}"), F.col(f"r{i + 1}"), part - F.floor(part), kind).alias(name))
         else:
-            out.append(F.col(f"r{k}").alias(name))
-        k += 2 if how == "cont" else 1
+            out.append(F.col(f"r{i}").alias(name))
+        i += 2 if how == "cont" else 1
     groups = held.select(F.col("g").alias("of")).distinct()
-    return groups.join(found.select("g", *out), F.col("of").eqNullSafe(F.col("g")), "left").select(F.col("of").alias("g"), *(f"`{name}`" for name, _, _ in wanted))
+    return groups.join(found.select("g", *out), F.col("of").eqNullSafe(F.col("g")), "left").select(F.col("of").alias("g"), *(f"`{w[1]}`" for w in wanted))
 
 
 def exact_quantiles(rows: DataFrame, group: str, wanted: dict[str, tuple[str, float, str]]) -> DataFrame:
@@ -84,13 +89,12 @@ def exact_quantiles(rows: DataFrame, group: str, wanted: dict[str, tuple[str, fl
     rank it begins; only ranges with a wanted rank are sorted. So neither a group nor a value
     meets in one task, groups may be as many as rows, and nothing goes through the driver.
     """
-    columns: dict[str, list] = {}
+    kinds: dict[T.DataType, dict[str, list]] = {}
     for name, (column, share, kind) in wanted.items():
         if kind not in ("cont", "disc") or not 0 <= share <= 1:
             raise ValueError(f"{name}: a share is 0 to 1, a kind cont or disc")
-        columns.setdefault(column, []).append((name, share, kind))
-    parts = [_of_column(rows, group, c, w) for c, w in columns.items()]
-    out = parts[0].select(F.col("g").alias(group), *(f"`{n}`" for n, _, _ in columns[next(iter(columns))]))
-    for part in parts[1:]:
-        out = out.join(part.withColumnRenamed("g", "same group"), F.col(f"`{group}`").eqNullSafe(F.col("same group"))).drop("same group")
-    return out.select(F.col(f"`{group}`"), *(f"`{n}`" for n in wanted))
+        kinds.setdefault(rows.schema[column].dataType, {}).setdefault(column, []).append((name, share, kind))
+    first, *others = [_of_kind(rows, group, kind, columns) for kind, columns in kinds.items()]
+    for part in others:
+        first = first.withColumnRenamed("g", "same group").join(part, F.col("same group").eqNullSafe(F.col("g"))).drop("same group")
+    return first.select(F.col("g").alias(group), *(f"`{n}`" for n in wanted))
