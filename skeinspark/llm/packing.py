@@ -99,32 +99,39 @@ def _ranged(rows: DataFrame, least: int) -> tuple[DataFrame, int]:
     """``rows`` with range and base, and the number of ranges: stretches of the curve of about equal tokens and rows, and the tokens before each.
 
     Tokens and rows are counted by the first 16 bits of places, and cells with more than a
-    range's share again by further bits: at most ``CELLS`` counts each, however large the table.
+    range's share again by further bits, down to whole places, of which the last bits part rows
+    of one key: at most ``CELLS`` counts at once, however large the table.
     """
     spark = rows.sparkSession
 
-    def counts(df, cell):
-        return {r["cell"]: (r["t"], r["t"] + ROW * r["n"]) for r in df.groupBy(cell.alias("cell")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
+    def counts(df):
+        return {r["cell"]: (r["t"], r["t"] + ROW * r["n"]) for r in df.groupBy("cell").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
 
-    top = F.shiftright("place", PLACE_BITS - 16)
-    held = counts(rows, top)
-    total = sum(w for _, w in held.values())
+    def begin(bits):
+        return F.shiftleft(F.shiftright("place", PLACE_BITS - bits), PLACE_BITS - bits)
+
+    depth = 16
+    split = rows.withColumn("cell", begin(depth))  # the first place of a row's cell
+    fine = counts(split)
+    total = sum(w for _, w in fine.values())
     share = max(1, -(-total // max(least, total // PER_RANGE + 1)))
-    heavy = sorted(c for c, (_, w) in held.items() if w > share)
-    deeper = (CELLS // max(1, len(heavy))).bit_length() - 1
-    split = rows.join(F.broadcast(spark.createDataFrame([(c,) for c in heavy], "top long")), top == F.col("top"), "left")
-    low = F.when(F.col("top").isNotNull(), F.shiftright("place", PLACE_BITS - 16 - deeper).bitwiseAND(F.lit((1 << deeper) - 1))).otherwise(F.lit(0))
-    cell = F.shiftleft(top, 16) + low
-    fine = {c << 16: v for c, v in held.items() if v[1] <= share}
-    if heavy:
-        fine |= counts(split.filter("top is not null"), cell)
+    heavy = [c for c, (_, w) in fine.items() if w > share]
+    while heavy and depth < PLACE_BITS:
+        depth = min(PLACE_BITS, depth + max(1, (CELLS // len(heavy)).bit_length() - 1))
+        parted = F.broadcast(spark.createDataFrame([(c, True) for c in heavy], "cell long, heavy boolean"))
+        split = split.join(parted, "cell", "left").withColumn("cell", F.when(F.col("heavy"), begin(depth)).otherwise(F.col("cell")))
+        deeper = counts(split.filter("heavy"))
+        split = split.drop("heavy")
+        parents = set(heavy)
+        fine = {c: v for c, v in fine.items() if c not in parents} | deeper
+        heavy = [c for c, (_, w) in deeper.items() if w > share]
     told, tokens, weight, base = [], 0, 0, {}
     for c in sorted(fine):
         k = weight // share
         told.append((c, k, base.setdefault(k, tokens)))
         tokens, weight = tokens + fine[c][0], weight + fine[c][1]
     table = spark.createDataFrame(told, "cell long, range long, base long")
-    placed = split.withColumn("cell", cell).join(F.broadcast(table), "cell")
+    placed = split.join(F.broadcast(table), "cell")
     return placed.select(*rows.columns, F.col("range").cast("int").alias("range"), "base"), weight // share + 1
 
 
