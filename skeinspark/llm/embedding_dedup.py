@@ -24,9 +24,11 @@ from ._graph import components
 from ._shared import join_by_key, settled, stage
 
 #: Least cosine; nearest pivots kept, and of these to be shared.
-COSINE, NEAREST, SHARED = 0.9, 12, 4
+COSINE, NEAREST, SHARED = 0.9, 16, 3
 #: Pivots for each root of the number of vectors, and at most (their broadcast: 8 bytes a dimension each); those chosen far apart, at most; vectors of a list that is not dealt further; vectors of a block.
 DENSITY, MOST_PIVOTS, FAR_APART, SPLIT, BLOCK = 2.0, 1 << 16, 4096, 4096, 2048
+#: Bytes of pivots, which go to each worker, and of the rows that they are chosen from, which the driver holds; fewer are taken where vectors are long.
+PIVOT_BYTES, SAMPLE_BYTES = 48 << 20, 96 << 20
 _NO_ID = 1 << 62
 
 
@@ -111,11 +113,11 @@ def _links_of_unit(key, copies, vectors, near, side, first: int, second: int, co
     return key[some], key[root[some]], count[some]
 
 
-def _dimension_links(classes: DataFrame, n: int, cosine: float, shared: int, nearest: int) -> DataFrame:
-    """(u, v, links) of classes of one dimension: partial link counts of u, and an edge to v."""
+def _dimension_links(classes: DataFrame, n: int, size: int, cosine: float, shared: int, nearest: int) -> DataFrame:
+    """(u, v, links) of classes of one dimension (vectors of ``size`` bytes): partial link counts of u, and an edge to v."""
     spark = classes.sparkSession
-    m = int(min(MOST_PIVOTS, max(16, DENSITY * np.sqrt(n))))
-    wanted = 4 * m if m <= FAR_APART else m + 3 * FAR_APART
+    m = int(min(MOST_PIVOTS, max(16, PIVOT_BYTES // size), max(16, DENSITY * np.sqrt(n))))
+    wanted = max(m, min(4 * m if m <= FAR_APART else m + 3 * FAR_APART, SAMPLE_BYTES // size))
     sample = [r["vector"] for r in classes.orderBy(F.xxhash64("key"), "key").select("vector").limit(wanted).collect()]
     pivots = choose_pivots(unit_rows(sample), m)  # at most MOST_PIVOTS rows
     near_n = min(nearest, len(pivots))
@@ -205,7 +207,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = COSINE, shared: int = SH
     size = F.octet_length("vector")
     links = None
     for r in classes.groupBy(size.alias("size")).count().collect():  # the lengths that occur
-        some = _dimension_links(classes.filter(size == r["size"]), r["count"], cosine, shared, nearest)
+        some = _dimension_links(classes.filter(size == r["size"]), r["count"], r["size"], cosine, shared, nearest)
         links = some if links is None else links.unionByName(some)
     if links is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
