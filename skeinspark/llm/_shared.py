@@ -298,9 +298,11 @@ def dealt(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
 def split_by_marks(rows: DataFrame, key: str, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows`` whose long ``key`` is surely not in ``marked`` (a frame with that one column), and the others.
 
-    The marks are broadcast as bitmaps of ``TABLE_BITS`` bits at most, so that only the others need a shuffle.
+    The marks are broadcast as bitmaps of about eight bits a mark, ``TABLE_BITS`` at least and ``MOST_BITS`` at most,
+    so that only the others need a shuffle. Columns of ``rows`` are not named as the bitmaps' are.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(TABLE_BITS))
+    marked = stage(marked, "marked")
+    place = F.pmod(F.xxhash64(key), F.lit(min(MOST_BITS, max(TABLE_BITS, 1 << (8 * marked.count() - 1).bit_length()))))
     maps = stage(marked.select(place.alias("__at")).groupBy(F.bitmap_bucket_number("__at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__at")).alias("__map")), "marks")
     told = rows.withColumn("__bucket", F.bitmap_bucket_number(place)).withColumn("__bit", F.bitmap_bit_position(place)).join(F.broadcast(maps), "__bucket", "left")
     hit = test_bit("__map", F.col("__bit"))

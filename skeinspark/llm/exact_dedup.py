@@ -77,15 +77,16 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     identity = lambda c: F.struct(F.coalesce(c, F.lit(0).cast("long")).alias("i"), c.isNull().alias("n"))
     digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    rows = docs.withColumn("__digest", digest).withColumn("__key", F.xxhash64("__digest")).withColumn("__id", identity(F.col("doc_id"))).withColumn("__row", F.xxhash64("__digest", "__id"))
-    alone, members = split_by_marks(rows, "__key", marked.withColumnRenamed("key", "__key"))
-    keep = again.select(F.col("digest").alias("__digest"), identity(F.col("keep_id")).alias("__id"))
-    _, kept = split_by_marks(members, "__row", keep.select(F.xxhash64("__digest", "__id").alias("__row")))
+    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    rows = docs.select(whole, digest.alias("digest"), identity(F.col("doc_id")).alias("id")).withColumn("key", F.xxhash64("digest")).withColumn("place", F.xxhash64("digest", "id"))
+    alone, members = split_by_marks(rows, "key", marked)
+    keep = again.select("digest", identity(F.col("keep_id")).alias("id"))
+    _, kept = split_by_marks(members, "place", keep.select(F.xxhash64("digest", "id").alias("place")))
     # An equi-join on digest and id together, so that the rows of a large group go to different tasks.
-    stay = kept.join(keep, ["__digest", "__id"], "left_semi").dropDuplicates(["__digest", "__id"])
-    _, unsure = split_by_marks(members, "__key", chance.withColumnRenamed("key", "__key"))
-    other = unsure.join(again.select(F.col("digest").alias("__digest")), "__digest", "left_anti")
-    return alone.select(*docs.columns).unionByName(stay.select(*docs.columns)).unionByName(other.select(*docs.columns))
+    stay = kept.join(keep, ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
+    _, unsure = split_by_marks(members, "key", chance)
+    other = unsure.join(again.select("digest"), "digest", "left_anti")
+    return alone.select("row.*").unionByName(stay.select("row.*")).unionByName(other.select("row.*"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

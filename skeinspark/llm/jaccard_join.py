@@ -528,17 +528,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, links: bool = False
 
 @settled
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id; all columns stay.
+    """``docs`` with one document of each component, that of the smallest doc_id; all columns stay, whatever their names.
 
     Null and empty texts and those without words are linked with nothing and stay. Rows with a
     null id go where their component has an id, and stay where it has none. Rows that repeat the
     staying id stay with it. An empty table gives no rows.
     """
     found = near_duplicates(docs, percent)
-    dropped = stage(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("component_id").isNotNull()).select(F.col("row").alias("__row")).distinct(), "dropped")
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    clear, others = split_by_marks(rows, "__row", dropped)
-    return clear.unionByName(others.join(dropped, "__row", "left_anti").select(*rows.columns)).drop("__row")
+    dropped = stage(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("component_id").isNotNull()).select("row").distinct(), "dropped")
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("whole"), F.xxhash64("doc_id", "text").alias("row"))
+    clear, others = split_by_marks(rows, "row", dropped)
+    return clear.unionByName(others.join(dropped, "row", "left_anti").select(*rows.columns)).select("whole.*")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import tidy
 from ._words import U64, slices, words
@@ -200,25 +201,29 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds:
     return FactorisationMachine.fit([pickle.loads(r["x"]) for r in got], np.array([r["quality"] for r in got], float))
 
 
+def _scores(fm: FactorisationMachine, text: pa.Array, n_chars: pa.Array) -> np.ndarray:
+    out = np.zeros(len(text))
+    for lo, hi, data, offs in slices(text):
+        w = words(data, offs)
+        stats = np.concatenate([structure(data, offs, w), metadata(text[lo:hi], n_chars[lo:hi])], 1)
+        out[lo:hi] = fm.score(*word_features(w, hi - lo), stats)
+    return out
+
+
 def score_quality(docs: DataFrame, model: FactorisationMachine, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """``keep`` columns and the score (column ``name``) of every row of ``docs`` (which has ``text``, and ``n_chars`` where known); null counts as empty."""
+    """``keep`` columns (struct ``row`` of all of them, where that is kept) and the score (column ``name``) of every row of ``docs`` (which has ``text``, and ``n_chars`` where known); null counts as empty."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    size = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
+    chosen = docs.select(F.struct(*(docs[f"`{c}`"] for c in keep)).alias("row"), "text", size.cast("long").alias("size"))
 
     @tidy
     def run(batches):
-        fm = shared.value
         for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for lo, hi, data, offs in slices(batch.column("text")):
-                w = words(data, offs)
-                stats = np.concatenate([structure(data, offs, w), metadata(batch.column("text")[lo:hi], batch.column("__n_chars")[lo:hi])], 1)
-                scores[lo:hi] = fm.score(*word_features(w, hi - lo), stats)
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(scores)], [*keep, name])
+            yield pa.record_batch([batch.column("row"), pa.array(_scores(shared.value, batch.column("text"), batch.column("size")))], ["row", "score"])
 
-    chosen = with_metadata(docs, *[c for c in keep if c != "text"])
-    kinds = {f.name: f.dataType.simpleString() for f in chosen.schema.fields}
-    return chosen.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{name}` double")
+    told = chosen.mapInArrow(run, T.StructType([chosen.schema["row"], T.StructField("score", T.DoubleType())]))
+    return told.select("row.*", F.col("score").alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -233,9 +238,18 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score under ``threshold``, which are told as in ``classify``; all columns stay."""
-    scored = score_quality(docs, fit_quality(docs, labels), tuple(docs.columns), "__score")
-    return scored.filter(F.col("__score") >= threshold).select(*docs.columns)
+    """``docs`` without the rows that score under ``threshold``, which are told as in ``classify``; all columns stay, whatever their names."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels)), docs.columns
+    size = F.col("n_chars") if "n_chars" in names else F.lit(None)
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"), size.cast("long").alias("size"))
+    at = names.index("text")
+
+    @tidy
+    def run(batches):
+        for batch in batches:
+            yield batch.select(["row"]).filter(pa.array(_scores(shared.value, batch.column("row").field(at), batch.column("size")) >= threshold))
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"]])).select("row.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

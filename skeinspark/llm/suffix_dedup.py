@@ -27,6 +27,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import bit_table, bucket_count, dealt, has_bits, pack, ragged, settled, split_by_marks, stage, text_bytes, tidy, unpack
 from ._words import U64, gram_hashes, mix, slices, words
@@ -328,39 +329,41 @@ def _union(found: DataFrame) -> DataFrame:
 
 @settled
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
-    """``docs`` with the spans of ``repeated_spans`` cut out of ``text``; all other columns and rows stay.
+    """``docs`` with the spans of ``repeated_spans`` cut out of ``text``; all other columns and rows stay, whatever their names.
 
     A cut takes the words of the span and the white space after them. Null texts stay null, and
     null, empty and short ones have no spans; rows that repeat id and text are cut alike; null
     ids come last in order. An empty table gives no rows. Only rows that may have spans are
     shuffled, told by a table of fixed size; the rest pass straight through.
     """
-    rows = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    spans = stage(_union(repeated_windows(rows.select(F.col("__key").alias("key"), "doc_id", "text"), min_words, gram)), "spans")
-    clear, maybe = split_by_marks(rows, "__key", spans.select(F.col("key").alias("__key")).distinct())
-    lists = spans.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
     names = docs.columns
-    schema = docs.schema
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    spans = stage(_union(repeated_windows(keyed, min_words, gram)), "spans")
+    clear, maybe = split_by_marks(rows, "key", spans.select("key").distinct())
+    lists = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    at = names.index("text")
 
     @tidy
     def cut(batches):
         for batch in batches:
-            texts = []
-            for text, each in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist()):
+            row, texts = batch.column("row"), []
+            for text, each in zip(row.field(at).to_pylist(), batch.column("spans").to_pylist()):
                 if each:
                     raw = text.encode()
                     w = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                    at, parts = 0, []
+                    done, parts = 0, []
                     for a, b in sorted((x["start"], x["stop"]) for x in each):
-                        parts.append(raw[at : w.start[a]])
-                        at = int(w.start[b]) if b < len(w.start) else len(raw)
-                    text = (b"".join(parts) + raw[at:]).decode()
+                        parts.append(raw[done : w.start[a]])
+                        done = int(w.start[b]) if b < len(w.start) else len(raw)
+                    text = (b"".join(parts) + raw[done:]).decode()
                 texts.append(text)
-            k = names.index("text")
-            yield pa.record_batch([pa.array(texts, batch.schema.field("text").type) if j == k else batch.column(c) for j, c in enumerate(names)], names)
+            fields = [row.type.field(j) for j in range(row.type.num_fields)]
+            columns = [pa.array(texts, f.type) if j == at else row.field(j) for j, f in enumerate(fields)]
+            yield pa.record_batch([pa.StructArray.from_arrays(columns, fields=fields)], ["row"])
 
-    mended = maybe.join(lists, "__key", "left").select(*names, "__spans").mapInArrow(cut, schema)
-    return clear.select(*names).unionByName(mended)
+    mended = maybe.join(lists, "key", "left").select("row", "spans").mapInArrow(cut, T.StructType([T.StructField("row", docs.schema)]))
+    return clear.select("row.*").unionByName(mended.select("row.*"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,28 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+#: Names that operators use beside a row, and names that need quotes.
+HELPERS = ("__key", "__row", "__spans", "__score", "__n_chars", "__digest", "__id", "__at", "__bucket", "__bit", "__map", "a.b", "row", "whole", "key", "digest", "id", "place", "spans", "size", "score", "with space", "back`tick")
+
+
+def test_columns_of_users_stay(spark):
+    """Whatever their names, columns come through each function that drops or mends rows as they were."""
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join(f"v{k}" for k in rng.integers(0, 500, n))
+    passage = say(70)
+    texts = [say(90) for _ in range(12)] + [f"{say(20)} {passage} {say(9)}" for _ in range(4)]
+    texts += [texts[0], texts[1] + " more", None, "", None]
+    names = [n for n in HELPERS if "`" not in n]
+    df = spark.createDataFrame([(k, t, *(f"{n}-{k}" for n in names)) for k, t in enumerate(texts)], ["doc_id", "text", *names]).withColumn("n_chars", F.length("text"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    for f in (exact_dedup.drop_copies, jaccard_join.drop_near_copies, suffix_dedup.remove_repeats, lambda d: quality.drop_rejected(d, labels, 0.0)):
+        out = f(df)
+        assert out.columns == df.columns
+        got = out.collect()
+        assert len(got) >= 15 and all(r[n] == f"{n}-{r.doc_id}" for r in got for n in names)
+    assert any(r.text != texts[r.doc_id] for r in suffix_dedup.remove_repeats(df).collect())
+
+
 def test_slot_map(spark, tmp_path):
     sizes = np.random.default_rng(2).integers(1, 1000, 2000).tolist()
     first = sharding.SlotMap.balanced(sizes, 24)
@@ -548,6 +570,18 @@ def test_bpe_where_keys_of_pieces_meet(library, monkeypatch):
     assert tool.known.used <= 40 + 3000
 
 
+def test_packing_parts_rows_of_one_place(spark):
+    """Half of all rows are one short text under different ids: they go to different ranges."""
+    short = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("the same few words")).otherwise(F.concat(F.lit("word "), F.sha2(F.col("id").cast("string"), 256))).alias("text"))
+    llm.ship(spark)
+    rows = packing.stage(packing.tokenised(short, bpe.default_vocabulary()), "tokens")
+    placed, ranges = packing._ranged(rows, 64)
+    held = [r["count"] for r in placed.groupBy("range").count().collect()]
+    assert sum(held) == 40_000 and ranges <= 65 and max(held) < 2.5 * 40_000 / 64
+    begins = placed.groupBy("range").agg(F.min("base").alias("b"), F.max("base").alias("e"), F.sum("n_tokens").alias("t"), F.min("place").alias("lo"), F.max("place").alias("hi")).orderBy("range").collect()
+    assert all(r.b == r.e for r in begins) and all(x.b + x.t == y.b and x.hi < y.lo for x, y in zip(begins, begins[1:]))
+
+
 def test_packing_pads_the_last_sequence_alone(docs):
     """Sequences are full but for the last one, whose filled part is the rest of all tokens."""
     got = packing.pack_documents(docs, 128).collect()
@@ -711,14 +745,26 @@ def test_embeddings_in_long_lists_and_blocks(spark, monkeypatch):
     assert sum(got.values()) >= 0.95 * (link.sum() - link[3].sum())
 
 
-@pytest.mark.parametrize("n", [5_000, 200_000])
-def test_recall_of_pivots(n):
+@pytest.mark.parametrize("kind", ["none", "mean", "clusters"])
+@pytest.mark.parametrize("n", [5_000, 200_000, 1_000_000, 4_000_000])
+def test_recall_of_pivots(n, kind):
     """Share of pairs at cosines of 0.90 to 0.93 that the index would compare, with as many pivots as ``n`` vectors have."""
     rng = np.random.default_rng(2)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     m = int(embedding_dedup.DENSITY * np.sqrt(n))
-    pivots = embedding_dedup.choose_pivots(unit(rng.normal(size=(4 * m, 64))), m)
-    a, off = unit(rng.normal(size=(1000, 64))), rng.normal(size=(1000, 64))
+    centre = unit(rng.normal(size=(50, 64)))
+
+    def vectors(k):
+        x = unit(rng.normal(size=(k, 64)))
+        if kind == "mean":  # as text embeddings often have: cosines of 0.5 between any two
+            x = (x + centre[0]) / np.sqrt(2)
+        if kind == "clusters":
+            x = np.sqrt(0.4) * x + np.sqrt(0.6) * centre[rng.integers(0, 50, k)]
+        return unit(x)
+
+    # Of many pivots any will do: choosing them far apart only helps.
+    pivots = embedding_dedup.choose_pivots(vectors(4 * m), m) if n <= 200_000 else vectors(m)
+    a, off = vectors(1000), rng.normal(size=(1000, 64))
     off = unit(off - (off * a).sum(1, keepdims=True) * a)
     cosine = rng.uniform(0.9, 0.93, (1000, 1))
     b = cosine * a + np.sqrt(1 - cosine**2) * off
