@@ -7,9 +7,11 @@ from pyspark.sql import types as T
 
 from skeinspark.functions.columns import money
 from skeinspark.operators.joins import asof_join, asof_within, interval_join, range_join, salted_join, small
+from skeinspark.operators.sampling import sample_exact
 from skeinspark.operators.sorting import placed
 from skeinspark.plans.registry import Registry
 from skeinspark.sources import formats
+from skeinspark.sources.buckets import bucketed
 from skeinspark.sources.tables import over_tables, table
 
 query = Registry()
@@ -155,6 +157,16 @@ def j6_sort_merge(spark, sf_dir):
     return joined.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), money(F.sum("l_quantity")).alias("quantity"))
 
 
+@query("SELECT o_orderpriority, l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
+def j6_bucketed(spark, sf_dir):
+    """Both sides laid out once in the same buckets, which then join without an exchange."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    o = bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", buckets)
+    li = bucketed(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity"), "l_orderkey", buckets)
+    joined = o.hint("merge").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderpriority", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), money(F.sum("l_quantity")).alias("quantity"))
+
+
 @query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON c_acctbal BETWEEN s_acctbal - 5 AND s_acctbal + 5")
 def j7_range(spark, sf_dir):
     bands = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") - 5).alias("low"), (F.col("s_acctbal") + 5).alias("high"))
@@ -266,6 +278,15 @@ def o4_sample(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").sample(0.1, seed=7)
 
 
+@query("""
+SELECT o_orderkey, o_orderpriority, o_totalprice, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('7:' || CAST(o_orderkey AS VARCHAR))) AS place FROM orders) WHERE place <= 50
+""")
+def o4_sample_exact(spark, sf_dir):
+    """Fifty orders of each priority, drawn by priorities that depend on the key alone."""
+    return sample_exact(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_orderkey", 50)
+
+
 @query("SELECT count(*) AS n, TRUE AS within FROM lineitem")
 def o4_sample_within(spark, sf_dir):
     """The sample's size is within five standard deviations of a tenth."""

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import functions as F
 
 from skeinspark.functions.columns import cosine, distance, dot
+from skeinspark.operators.aggregation import Moments, aggregate_by
 from skeinspark.operators.joins import small
 from skeinspark.operators.nearest import nearest
 from skeinspark.plans.registry import Registry
@@ -179,15 +182,57 @@ def x3_table_udf(spark, sf_dir):
     return table(spark, sf_dir, "nation").lateralJoin(Parts(F.col("n_name").outer())).select("n_nationkey", "part", "word")
 
 
+@query("""
+WITH s AS (SELECT event_type, avg(value) AS mean, var_pop(value) AS variance FROM events GROUP BY event_type)
+SELECT event_type, count(e.value) AS n, round(any_value(s.mean), 5) AS mean, round(any_value(s.variance), 5) AS variance,
+       round(avg((e.value - s.mean) * (e.value - s.mean) * (e.value - s.mean)) / pow(any_value(s.variance), 1.5), 4) AS skewness
+FROM events e JOIN s USING (event_type) GROUP BY event_type
+""")
+def x2_partial_states(spark, sf_dir):
+    """A user's aggregate with states that are merged: moments of values."""
+    told = aggregate_by(table(spark, sf_dir, "events"), "event_type", ["value"], Moments(), "n long, mean double, variance double, skewness double")
+    return told.select("event_type", "n", F.round("mean", 5).alias("mean"), F.round("variance", 5).alias("variance"), F.round("skewness", 4).alias("skewness"))
+
+
 @query("SELECT doc_id, i AS part, string_split(text, ' ')[i] AS word FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, ' ')) + 1)) AS i)")
 def x3_table_udf_documents(spark, sf_dir):
-    @F.udtf(returnType="part bigint, word string")
-    class Words:
-        def eval(self, text: str):
-            for i, w in enumerate(text.split(" ") if text is not None else (), 1):
-                yield i, w
+    """A table function over batches of a table: about ``at_once`` words of whole texts at a time."""
+    at_once = 1 << 15
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").lateralJoin(Words(F.col("text").outer())).select("doc_id", "part", "word")
+    @F.arrow_udtf(returnType="doc_id bigint, part bigint, word string")
+    class Words:
+        def eval(self, rows: pa.RecordBatch):
+            for k in range(rows.num_rows):
+                words = pa.compute.split_pattern(rows.column("text").slice(k, 1), " ").flatten()
+                for lo in range(0, len(words), at_once):
+                    some = words.slice(lo, at_once)
+                    ids = pa.repeat(rows.column("doc_id")[k], len(some))
+                    yield pa.table({"doc_id": ids, "part": pa.array(range(lo + 1, lo + 1 + len(some)), pa.int64()), "word": some})
+
+    return Words(table(spark, sf_dir, "documents").select("doc_id", "text").asTable())
+
+
+@query("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, CAST(sum(len(text)) AS BIGINT) AS letters FROM documents GROUP BY source")
+def x3_partitioned(spark, sf_dir):
+    """A table function with a table argument by partition: documents by source, a large source in slots."""
+
+    @F.arrow_udtf(returnType="source string, n bigint, langs array<string>, letters bigint")
+    class Totals:
+        def __init__(self):
+            self.source, self.n, self.letters, self.langs = None, 0, 0, set()
+
+        def eval(self, rows: pa.RecordBatch):
+            self.source = rows.column("source")[0].as_py()
+            self.n += rows.num_rows
+            self.letters += pa.compute.sum(rows.column("letters")).as_py() or 0
+            self.langs |= set(rows.column("lang").unique().to_pylist())
+
+        def terminate(self):
+            yield pa.table({"source": pa.array([self.source], pa.string()), "n": [self.n], "langs": pa.array([sorted(x for x in self.langs if x is not None)], pa.list_(pa.string())), "letters": [self.letters]})
+
+    docs = table(spark, sf_dir, "documents").select("source", "lang", F.length("text").cast("long").alias("letters"), F.pmod(F.xxhash64("doc_id"), F.lit(32)).alias("slot"))
+    told = Totals(docs.asTable().partitionBy("source", "slot"))
+    return told.groupBy("source").agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("langs")))).cast("long").alias("langs"), F.sum("letters").alias("letters"))
 
 
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
