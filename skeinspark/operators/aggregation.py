@@ -13,6 +13,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Workers get this module with the functions, whether or not the package is installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -88,11 +89,12 @@ def aggregate_by(rows: DataFrame, key: str, columns: list[str], how: Aggregate,
     def merge(table: pa.Table) -> pa.Table:
         return pa.table({"key": table.column("key").slice(0, 1), "state": pa.array([pickle.dumps(merged(table))], pa.binary())})
 
-    out = T.StructType([T.StructField("key", kind), *T._parse_datatype_string(result).fields])
+    out = T.StructType([T.StructField("key", kind), *T.StructType.fromDDL(result).fields])
+    arrow = to_arrow_schema(out)
 
     def finish(table: pa.Table) -> pa.Table:
         values = how.finish(merged(table))
-        return pa.table([table.column("key").slice(0, 1), *(pa.array([v]) for v in values)], [f.name for f in out.fields])
+        return pa.table([table.column("key").slice(0, 1), *(pa.array([v], f.type) for v, f in zip(values, list(arrow)[1:]))], arrow.names)
 
     partial = chosen.mapInArrow(update, told)
     held = partial.groupBy("key", "part").applyInArrow(merge, T.StructType(told.fields[:2]))
