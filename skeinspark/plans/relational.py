@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skeinspark.functions.columns import money
 from skeinspark.operators.joins import asof_join, asof_within, interval_join, range_join, salted_join, small
@@ -338,8 +337,3 @@ def u2_except(spark, sf_dir):
 def u2_except_all(spark, sf_dir):
     a, b = _two(spark, sf_dir)
     return a.exceptAll(b)
-
-
-@query("SELECT * FROM (VALUES (1, 'a', CAST(NULL AS DOUBLE)), (2, NULL, 2.5)) AS t(id, name, x)")
-def s3_inline_values(spark, sf_dir):
-    return spark.createDataFrame([(1, "a", None), (2, None, 2.5)], T.StructType([T.StructField("id", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("x", T.DoubleType())]))
