@@ -228,7 +228,8 @@ def x3_partitioned(spark, sf_dir):
             self.langs |= set(rows.column("lang").unique().to_pylist())
 
         def terminate(self):
-            yield pa.table({"source": pa.array([self.source], pa.string()), "n": [self.n], "langs": pa.array([sorted(x for x in self.langs if x is not None)], pa.list_(pa.string())), "letters": [self.letters]})
+            if self.n:  # a task without rows ends as well
+                yield pa.table({"source": pa.array([self.source], pa.string()), "n": [self.n], "langs": pa.array([sorted(x for x in self.langs if x is not None)], pa.list_(pa.string())), "letters": [self.letters]})
 
     docs = table(spark, sf_dir, "documents").select("source", "lang", F.length("text").cast("long").alias("letters"), F.pmod(F.xxhash64("doc_id"), F.lit(32)).alias("slot"))
     told = Totals(docs.asTable().partitionBy("source", "slot"))
