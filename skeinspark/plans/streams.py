@@ -80,6 +80,5 @@ WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
 def t8_late_data(spark, sf_dir):
     """Errors of the first half of the month arrive after everything else, two batches behind the watermark, and reopen no window."""
     parts = ["not late and ts < middle", "not late and ts >= middle and ts < middle + interval 9 days", "ts >= middle + interval 9 days", "late"]
-    feed = S.fed_in_order(spark, f"{sf_dir}/events.parquet", parts, late="event_type = 'error' and ts < middle", middle="timestamp_ntz '2024-01-16'")
-    out = S.run_to_end(S.windowed_counts(feed), "late")
+    out = S.run_in_order(spark, f"{sf_dir}/events.parquet", parts, S.windowed_counts, "late", late="event_type = 'error' and ts < middle", middle="timestamp_ntz '2024-01-16'")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,32 +23,18 @@ def events(spark: SparkSession, path: str, files_per_trigger: int | None = None)
     return reader.parquet(glob).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def fed_in_order(spark: SparkSession, path: str, parts: list[str], **terms: str) -> DataFrame:
-    """The events of a table as a stream of one micro-batch for each part (a condition), in their order. ``terms`` are columns that conditions may name.
-
-    Each part is written as one file to the shared folder; the source takes one file at a time, oldest first.
-    """
-    folder = scratch(spark, "feed")
-    rows = spark.read.schema(EVENTS).parquet(path)
-    named = rows
-    for name in reversed(terms):
-        named = named.withColumn(name, F.expr(terms[name]))
-    for k, part in enumerate(parts):
-        named.filter(part).select(*rows.columns).coalesce(1).write.parquet(f"{folder}/{k}")
-    return events(spark, f"{folder}/*", files_per_trigger=1)
-
-
 #: The setting that names the store of state, and the store that keeps it outside the heap, as state with timers needs.
 STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_to_end(stream: DataFrame, name: str, store: str | None = None, told: list | None = None) -> DataFrame:
+def run_to_end(stream: DataFrame, name: str, store: str | None = None, told: list | None = None, path: str | None = None) -> DataFrame:
     """Process all that is there in append mode into Parquet files, exactly once, and read them.
 
     ``store`` names a state store for this run; the session's setting stays. ``told`` gets the progress of the batches.
+    ``path`` is the folder of an earlier run of the same stream, which then goes on from there.
     """
     spark = stream.sparkSession
-    path = scratch(spark, f"stream-{name}")
+    path = path or scratch(spark, f"stream-{name}")
     before = spark.conf.get(STORE)
     try:
         if store:
@@ -63,6 +49,22 @@ def run_to_end(stream: DataFrame, name: str, store: str | None = None, told: lis
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def run_in_order(spark: SparkSession, path: str, parts: list[str], plan: Callable[[DataFrame], DataFrame], name: str, **terms: str) -> DataFrame:
+    """What ``plan`` makes of the events of a table that arrive part by part (each a condition), in the order given. ``terms`` are columns that conditions may name.
+
+    Each part is written to the shared folder by as many tasks as read it, and the stream then goes on from its last checkpoint over the new files.
+    """
+    feed, done = scratch(spark, "feed"), scratch(spark, f"stream-{name}")
+    rows = spark.read.schema(EVENTS).parquet(path)
+    named = rows
+    for term in reversed(terms):
+        named = named.withColumn(term, F.expr(terms[term]))
+    for k, part in enumerate(parts):
+        named.filter(part).select(*rows.columns).write.parquet(f"{feed}/{k}")
+        out = run_to_end(plan(events(spark, f"{feed}/*")), name, path=done)
+    return out
+
+
 def windowed_counts(stream: DataFrame, lateness: str = "1 hour", size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Counts and sums by window and type; a window is emitted when the watermark has passed its end."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
