@@ -270,9 +270,12 @@ def join_by_key(rows: DataFrame, facts: DataFrame, key: str, count: str) -> Data
 TABLE_BITS, MOST_BITS = 1 << 26, 1 << 29
 
 
-def bit_table(marks: DataFrame) -> np.ndarray:
-    """A table with the bits of column ``mark`` (longs, well mixed in the low bits) set, about eight bits for each mark: at most 16,384 rows of 4 KB reach the driver."""
-    marks = stage(marks, "marks")
+def bit_table(marks: DataFrame, staged: bool = False) -> np.ndarray:
+    """A table with the bits of column ``mark`` (longs, well mixed in the low bits) set, about eight bits for each mark: at most 16,384 rows of 4 KB reach the driver.
+
+    ``marks`` is read twice, and so written first where it isn't ``staged``.
+    """
+    marks = marks if staged else stage(marks, "marks")
     bits = min(MOST_BITS, max(TABLE_BITS, 1 << (8 * marks.count() - 1).bit_length()))
     place = F.col("mark").bitwiseAND(F.lit(bits - 1)) + 1  # bitmap functions count from 1
     table = np.zeros(bits // 8, np.uint8)

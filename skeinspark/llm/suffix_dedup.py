@@ -15,11 +15,15 @@ at anchors are retained.
 
 Suffixes that meet in one task are compared there, and only windows that may still be a
 first occurrence go on, so that a passage in a third of all rows is a few rows for each task.
+Where an anchor still comes from very many tasks, its suffixes meet by anchor and salt first,
+and what each of these groups leaves meets by anchor then: with n stretches of text that hold
+it, no group has more than about the square root of n of them.
 A very long text is a slice of its own; nothing of it is left out.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +39,8 @@ from ._words import U64, gram_hashes, mix, slices, words
 #: Words of a repeated passage at least, and of the grams that anchors are chosen from.
 MIN_WORDS, GRAM = 50, 25
 _LAST = np.iinfo(np.int64).max
+#: Stretches of text (``slices``) that may hold an anchor before its suffixes meet by anchor and salt first.
+CROWDED = 64
 
 
 def anchors(w, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,23 +59,28 @@ def anchors(w, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[np.ndarray
     return at, place, grams[place]
 
 
-def repeated_anchors(texts: DataFrame, buckets: int, min_words: int, gram: int) -> np.ndarray:
-    """The table of anchors that occur more than once, of bounded size."""
+def repeated_anchors(texts: DataFrame, buckets: int, min_words: int, gram: int, crowded: int = CROWDED) -> tuple[np.ndarray, np.ndarray, int]:
+    """Tables of bounded size of the anchors that occur more than once and of those that more than ``crowded`` stretches hold, and the most stretches that hold one."""
 
     @tidy
     def emit(batches):
         held, n = [], 0
 
         def flush():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            return dealt((mix(h) % U64(buckets)).astype(np.int64), [h, np.minimum(c, 255).astype(np.uint8)])
+            h, c = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(h)
+            h, c = h[order], c[order]
+            first = np.flatnonzero(np.diff(h, prepend=h[:1] + U64(1)) != 0)
+            stretches = np.diff(np.append(first, len(h)))
+            c = np.add.reduceat(c, first)
+            return dealt((mix(h[first]) % U64(buckets)).astype(np.int64), [h[first], np.minimum(c, 255).astype(np.uint8), np.minimum(stretches, 65535).astype(np.uint16)])
 
         for batch in batches:
             for _, _, data, offs in slices(batch.column("text")):
                 w = words(data, offs)
                 _, place, h = anchors(w, min_words, gram)
-                held.append(h[np.diff(place, prepend=-1) != 0])
-                n += len(held[-1])
+                held.append(np.unique(h[np.diff(place, prepend=-1) != 0], return_counts=True))
+                n += len(held[-1][0])
                 if n > 1 << 21:
                     yield flush()
                     held, n = [], 0
@@ -77,14 +88,16 @@ def repeated_anchors(texts: DataFrame, buckets: int, min_words: int, gram: int)
             yield flush()
 
     def count(t: pa.Table) -> pa.Table:
-        h, c = (np.concatenate(x) for x in zip(*(unpack(b.as_py()) for b in t.column("block"))))
+        h, c, stretches = (np.concatenate(x) for x in zip(*(unpack(b.as_py()) for b in t.column("block"))))
         order = np.argsort(h)
-        h, c = h[order], c[order]
+        h, c, stretches = h[order], c[order], stretches[order]
         first = np.flatnonzero(np.diff(h, prepend=h[0] + U64(1)) != 0)
         many = np.add.reduceat(c.astype(np.int64), first) > 1
-        return pa.table({"mark": pa.array(mix(h[first[many]]).view(np.int64))})
+        return pa.table({"mark": pa.array(mix(h[first[many]]).view(np.int64)), "n": pa.array(np.add.reduceat(stretches.astype(np.int64), first)[many])})
 
-    return bit_table(texts.mapInArrow(emit, "bucket int, block binary").groupBy("bucket").applyInArrow(count, "mark long"))
+    marks = stage(texts.mapInArrow(emit, "bucket int, block binary").groupBy("bucket").applyInArrow(count, "mark long, n long"), "anchors")
+    most = marks.agg(F.max("n")).first()[0] or 0
+    return bit_table(marks.select("mark"), staged=True), bit_table(marks.filter(F.col("n") > crowded).select("mark"), staged=True), most
 
 
 def _intervals(key, start, other, min_words):
@@ -168,15 +181,51 @@ def repeats_among(s: Suffixes, min_words: int, gram: int) -> tuple[np.ndarray, n
     return tuple(np.concatenate(c) for c in out)
 
 
-def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+def left_over(s: Suffixes, told: np.ndarray, start: np.ndarray, min_words: int) -> Suffixes:
+    """Of each suffix the windows from the first to the last that was not told (numbers of suffixes, first words of windows)."""
+    size = s.hi - s.lo + 1
+    begin = np.cumsum(size) - size
+    left = np.ones(int(size.sum()), bool)
+    left[begin[told] + start - s.lo[told]] = False
+    owner, at = np.repeat(np.arange(len(size)), size)[left], ragged(s.lo, size)[left]
+    rest, first = np.unique(owner, return_index=True)
+    lo, hi = at[first], at[np.append(first[1:], len(at))[: len(first)] - 1]
+    words_at = ragged(s.first(min_words)[rest] + lo - s.lo[rest], hi - lo + min_words)
+    return Suffixes(s.anchor[rest], s.row[rest], s.pos[rest], lo, hi, s.words[words_at])
+
+
+def blocks(s: Suffixes, doc: np.ndarray, key: np.ndarray, bucket: np.ndarray, min_words: int) -> pa.RecordBatch:
+    """Suffixes as one packed block for each bucket. ``doc`` and ``key`` are of rows."""
+    s, bucket = s.take(np.argsort(bucket, kind="stable"), min_words), np.sort(bucket)
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends, word_ends = np.append(cut[1:], len(bucket)), np.append(s.first(min_words)[cut[1:]], len(s.words))
+    out, w0 = [], 0
+    for x, y, w1 in zip(cut.tolist(), ends.tolist(), word_ends.tolist()):
+        who, ref = np.unique(s.row[x:y], return_inverse=True)
+        table, code = np.unique(s.words[w0:w1], return_inverse=True)
+        small = np.uint8 if len(table) <= 1 << 8 else np.uint16 if len(table) <= 1 << 16 else np.uint32
+        out.append(pack(np.full(1, 0, np.uint8), s.anchor[x:y], ref.astype(np.uint32), *(c[x:y].astype(np.uint32) for c in (s.pos, s.lo)), (s.hi - s.lo)[x:y].astype(np.uint16), doc[who], key[who], table, code.astype(small)))
+        w0 = w1
+    return pa.record_batch([pa.array(bucket[cut], pa.int32()), pa.array(out, pa.binary())], ["bucket", "block"])
+
+
+def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
     """Intervals of words to remove: key (of the row), start, stop and an earlier document with the same words.
 
-    ``docs`` has key, doc_id and text. Intervals of a row may overlap.
+    ``docs`` has key, doc_id and text. Intervals of a row may overlap. Suffixes at anchors that more than
+    ``crowded`` stretches of text hold meet in two steps; what is found is the same.
     """
+    sent, merge, settle = _steps(docs, min_words, gram, crowded)
+    return sent.groupBy("bucket").applyInArrow(merge, sent.schema).groupBy("bucket").applyInArrow(settle, "key long, start int, stop int, other long")
+
+
+def _steps(docs: DataFrame, min_words: int, gram: int, crowded: int):
+    """Packed suffixes and repeats by bucket, and what is done with a bucket in the first and in the second step."""
     spark = docs.sparkSession
     _, size = text_bytes(docs)
     buckets = bucket_count(spark, size)
-    table = spark.sparkContext.broadcast(repeated_anchors(docs.select("text"), buckets, min_words, gram))
+    again, many, most = repeated_anchors(docs.select("text"), buckets, min_words, gram, crowded)
+    table, salted, salts = spark.sparkContext.broadcast(again), spark.sparkContext.broadcast(many), max(1, math.isqrt(most))
 
     def found(s: Suffixes, doc: np.ndarray, key: np.ndarray):
         """Merged repeats: key, start, stop, other; and the told windows themselves. ``doc`` and ``key`` are of rows."""
@@ -195,12 +244,21 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GR
         return rank, doc[order[new]], key[order[new]]
 
     def distinct(s: Suffixes) -> Suffixes:
-        """Repeated rows have the same suffixes; one of each stays, with all windows that any of them has."""
-        order = np.lexsort((s.lo - s.hi, s.pos, s.row))
+        """Repeated rows have the same suffixes; those whose windows another of the same place has, too, go."""
+        order = np.lexsort((-s.hi, s.lo, s.pos, s.row))
         new = np.ones(len(order), bool)
         new[1:] = (s.row[order][1:] != s.row[order][:-1]) | (s.pos[order][1:] != s.pos[order][:-1])
+        reach = np.cumsum(new) << 32 | s.hi[order]
+        new[1:] |= reach[1:] > np.maximum.accumulate(reach)[:-1]
         return s if new.all() else s.take(order[new], min_words)
 
+    def by_key(key: np.ndarray) -> np.ndarray:
+        return (mix(key.view(U64)) % U64(buckets)).astype(np.int64)
+
+    def packed(bucket: np.ndarray, told: tuple) -> pa.RecordBatch:
+        k, a, b, o = told
+        return dealt(bucket, [np.full(len(k), 1, np.uint8), k, a.astype(np.uint32), b.astype(np.uint32), o])
+
     @tidy
     def emit(batches):
         held, names, n, docs_held = [], [], 0, 0
@@ -211,33 +269,16 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GR
             s = Suffixes.joined(held)
             s.row = rank[s.row]
             s = distinct(s)
-            (k, a, b, o), told, start = found(s, doc, key)
-            if len(k):
-                yield dealt((mix(k.view(U64)) % U64(buckets)).astype(np.int64), [np.full(len(k), 1, np.uint8), k, a.astype(np.uint32), b.astype(np.uint32), o])
-            # Of each suffix go on the windows from the first to the last that was not told here.
-            size = s.hi - s.lo + 1
-            begin = np.cumsum(size) - size
-            left = np.ones(int(size.sum()), bool)
-            left[begin[told] + start - s.lo[told]] = False
-            owner, at = np.repeat(np.arange(len(size)), size)[left], ragged(s.lo, size)[left]
-            rest, first = np.unique(owner, return_index=True)
-            if not len(rest):
-                return
-            lo, hi = at[first], at[np.append(first[1:], len(at)) - 1]
-            words_at = ragged(s.first(min_words)[rest] + lo - s.lo[rest], hi - lo + min_words)
-            s = Suffixes(s.anchor[rest], s.row[rest], s.pos[rest], lo, hi, s.words[words_at])
-            bucket = (mix(s.anchor) % U64(buckets)).astype(np.int64)
-            s, bucket = s.take(np.argsort(bucket, kind="stable"), min_words), np.sort(bucket)
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            ends, word_ends = np.append(cut[1:], len(bucket)), np.append(s.first(min_words)[cut[1:]], len(s.words))
-            out, w0 = [], 0
-            for x, y, w1 in zip(cut.tolist(), ends.tolist(), word_ends.tolist()):
-                who, ref = np.unique(s.row[x:y], return_inverse=True)
-                table, code = np.unique(s.words[w0:w1], return_inverse=True)
-                small = np.uint8 if len(table) <= 1 << 8 else np.uint16 if len(table) <= 1 << 16 else np.uint32
-                out.append(pack(np.full(1, 0, np.uint8), s.anchor[x:y], ref.astype(np.uint32), *(c[x:y].astype(np.uint32) for c in (s.pos, s.lo)), (s.hi - s.lo)[x:y].astype(np.uint16), doc[who], key[who], table, code.astype(small)))
-                w0 = w1
-            yield pa.record_batch([pa.array(bucket[cut], pa.int32()), pa.array(out, pa.binary())], ["bucket", "block"])
+            done, told, start = found(s, doc, key)
+            if len(done[0]):
+                yield packed(by_key(done[0]), done)
+            s = left_over(s, told, start, min_words)
+            if len(s.anchor):
+                # Groups of anchor and salt have buckets of their own, beyond those of anchors. A stretch has one salt, told by its first row.
+                salt = mix(mix(key[:1].view(U64)) % U64(salts))
+                mixed = mix(s.anchor)
+                bucket = np.where(has_bits(salted.value, mixed), U64(buckets) + mix(mixed ^ salt) % U64(buckets), mixed % U64(buckets))
+                yield blocks(s, doc, key, bucket.astype(np.int64), min_words)
 
         for batch in batches:
             doc = batch.column("doc_id").fill_null(_LAST).to_numpy()
@@ -264,7 +305,8 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GR
         if n:
             yield from flush()
 
-    def settle(t: pa.Table) -> pa.Table:
+    def opened(t: pa.Table):
+        """Repeats told so far, and the suffixes of a bucket with doc and key of their rows (None where there are none)."""
         done, open_, names, held = [], [], [], 0
         for b in t.column("block"):
             kind, *cols = unpack(b.as_py())
@@ -276,16 +318,38 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GR
                 open_.append(Suffixes(anchor, ref.astype(np.int64) + held, pos.astype(np.int64), lo, lo + more, table[code]))
                 names.append((doc, key))
                 held += len(doc)
-        if open_:
-            doc, key = (np.concatenate(c) for c in zip(*names))
-            rank, doc, key = numbered(doc, key)
-            s = Suffixes.joined(open_)
-            s.row = rank[s.row]
+        if not open_:
+            return done, None, None, None
+        doc, key = (np.concatenate(c) for c in zip(*names))
+        rank, doc, key = numbered(doc, key)
+        s = Suffixes.joined(open_)
+        s.row = rank[s.row]
+        return done, distinct(s), doc, key
+
+    def merge(of: tuple, t: pa.Table) -> pa.Table:
+        """The repeats of a bucket; of salted anchors also what may still be a first occurrence, by anchor."""
+        bucket, out = of[0].as_py(), []
+        told, s, doc, key = opened(t)
+        if s is not None:
+            done, k, start = found(s, doc, key)
+            told.append(done)
+            if bucket >= buckets:
+                s = left_over(s, k, start, min_words)
+                out.append(blocks(s, doc, key, (mix(s.anchor) % U64(buckets)).astype(np.int64), min_words))
+        told = tuple(np.concatenate(c) for c in zip(*told))
+        if len(told[0]):
+            out.append(packed(np.full(len(told[0]), bucket % buckets), told))
+        return pa.Table.from_batches(out, pa.schema([("bucket", pa.int32()), ("block", pa.binary())]))
+
+    def settle(t: pa.Table) -> pa.Table:
+        done, s, doc, key = opened(t)
+        if s is not None:
             done.append(found(s, doc, key)[0])
         k, a, b, o = (np.concatenate(c) for c in zip(*done))
         return pa.table({"key": pa.array(k, pa.int64()), "start": pa.array(a, pa.int32()), "stop": pa.array(b, pa.int32()), "other": pa.array(o, pa.int64())})
 
-    return docs.select("doc_id", "key", "text").mapInArrow(emit, "bucket int, block binary").groupBy("bucket").applyInArrow(settle, "key long, start int, stop int, other long")
+    sent = docs.select("doc_id", "key", "text").mapInArrow(emit, "bucket int, block binary")
+    return sent, merge, settle
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
