@@ -65,13 +65,13 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Consecutive rows ``lo:hi`` of at most ``limit`` bytes (one row may exceed it), with bytes and offsets."""
+def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Consecutive rows ``lo:hi`` of at most ``limit`` bytes (one row may exceed it) and at most ``rows``, with bytes and offsets."""
     data, offs = text_buffers(column)
     lo, n = 0, len(offs) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + (rows or n))
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 

@@ -22,6 +22,8 @@ from .quality import in_fold
 
 #: Rows of each language to fit on at most, rows of all languages at most (more languages have fewer rows each), n-gram buckets, longest n-gram.
 PER_LANGUAGE, SAMPLE, BUCKETS, GRAM = 2000, 256_000, 2048, 4
+#: Rows whose features stand dense side by side, 16 KB each, however short their texts are.
+AT_ONCE = 256
 #: A winner of less than this share over the second is ambiguous.
 AMBIGUOUS = 0.2
 
@@ -128,7 +130,7 @@ def _sampled(docs: DataFrame, folds: int, each: int, n: int) -> DataFrame:
     @tidy
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column("text")):
+            for lo, hi, data, offs in slices(batch.column("text"), rows=AT_ONCE):
                 x = features(data, offs).astype(np.float16)
                 yield pa.record_batch([batch.column("doc_id")[lo:hi], batch.column("lang")[lo:hi], pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
 
@@ -208,7 +210,7 @@ def identify(docs: DataFrame, model: OutputCodes) -> DataFrame:
         names = np.array([*m.languages, "und"], object)
         for batch in batches:
             pred, two, score, lead = np.full(batch.num_rows, "und", object), np.full(batch.num_rows, None, object), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for lo, hi, data, offs in slices(batch.column("text")):
+            for lo, hi, data, offs in slices(batch.column("text"), rows=AT_ONCE):
                 letter = np.zeros(len(data) + 1, np.int64)
                 np.cumsum((_FOLD[data] >= 97) & (_FOLD[data] <= 122), out=letter[1:])
                 some = np.diff(letter[offs]) > 0
