@@ -330,6 +330,40 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup.repeated_spans(empty).count() == 0 and suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_in_two_steps(spark, docs, rows, empty):
+    """The same spans where every anchor is salted, and rows that repeat are in many stretches."""
+    some = [r for r in dict.fromkeys(rows) if r[0] is not None]
+    want = {(d[0], k) for d, s in brute_repeats(some).items() for k in s}
+    df = docs.filter("doc_id is not null").select("doc_id", "text")
+    df = suffix_dedup._keyed(df.union(df).union(df).repartition(24))
+    for crowded in (0, suffix_dedup.CROWDED):
+        keys = suffix_dedup._union(suffix_dedup.repeated_windows(df, crowded=crowded)).join(df.select("key", "doc_id").distinct(), "key").collect()
+        assert {(r.doc_id, k) for r in keys for k in range(r.start, r.stop)} == want
+        assert suffix_dedup.repeated_windows(suffix_dedup._keyed(empty.select("doc_id", "text")), crowded=crowded).count() == 0
+
+
+def test_passage_in_every_row(spark, monkeypatch):
+    """Of a passage that more than 100 stretches hold, no group gets more than some multiple of the root of that."""
+    llm.ship(spark)
+    monkeypatch.setattr(suffix_dedup, "bucket_count", lambda *_: 4096)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, f"{' '.join(f'a{k}x{j}' for j in range(k % 30))} {passage} {' '.join(f'b{k}x{j}' for j in range(k % 40))}") for k in range(200)]
+    df = suffix_dedup._keyed(spark.createDataFrame(rows, "doc_id long, text string")).repartition(200)
+
+    def largest(crowded):
+        sent, merge, _ = suffix_dedup._steps(df, suffix_dedup.MIN_WORDS, suffix_dedup.GRAM, crowded)
+        sent = sent.cache()
+        groups = [sent.groupBy("bucket").count(), sent.groupBy("bucket").applyInArrow(merge, sent.schema).groupBy("bucket").count()]
+        out = [g.agg(F.max("count")).first()[0] for g in groups]
+        sent.unpersist()
+        return out
+
+    assert largest(10**9)[0] > 100 and max(largest(8)) <= 40 and max(largest(suffix_dedup.CROWDED)) <= suffix_dedup.CROWDED
+    spans = suffix_dedup.repeated_spans(df).collect()
+    assert sorted((r.doc_id, r.start, r.stop) for r in spans) == [(k, k % 30, k % 30 + 60) for k in range(1, 200)]
+    assert all(r.other_doc_id < r.doc_id for r in spans)
+
+
 def brute_links(vectors, cosine=0.9):
     good = [i for i, v in enumerate(vectors) if v and None not in v and np.isfinite(v).all() and np.any(v)]
     x = np.array([vectors[i] for i in good], float)
@@ -443,6 +477,50 @@ def test_language(spark, docs, rows, empty):
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"} and language.identify(empty, model).count() == 0
 
 
+def test_language_decoding_written_out(spark, docs, rows):
+    """Winner, second and score of each row as counts, sums and losses give them, one number at a time."""
+    model = language.fit_language(spark.read.parquet(f"{SF}/documents.parquet"))
+
+    def scores(text):
+        counts, b = collections.Counter(), [int(language._FOLD[x]) for x in text.encode()]
+        for at in range(len(b)):
+            h = 0
+            for k in range(1, min(language.GRAM, len(b) - at) + 1):
+                h = (h * 0x01000193 + b[at + k - 1] + k) % 2**32
+                counts[(((h ^ h >> 15) * 0x2C1B3C6D % 2**32) >> 12) % language.BUCKETS] += 1
+        length = math.sqrt(sum(math.log1p(n) ** 2 for n in counts.values()))
+        loss = [0.0] * len(model.languages)
+        for bit in range(model.code.shape[1]):
+            out = model.weights[-1, bit] + sum(math.log1p(n) / length * model.weights[j, bit] for j, n in counts.items())
+            for i in range(len(loss)):
+                loss[i] += model.bit_weight[bit] * math.log1p(math.exp(-model.sharpness * out * model.code[i, bit]))
+        p = [math.exp(min(loss) - x) for x in loss]
+        return sorted(((x / sum(p), name) for x, name in zip(p, model.languages)), reverse=True)
+
+    told = sorted(((r.lang_pred, r.second, r.score, r.ambiguous) for r in language.identify(docs, model).collect()), key=str)
+    want = []
+    for _, text in rows:
+        if re.search("[a-zA-Zé]", text or ""):
+            (p, a), (q, b) = scores(text)[:2]
+            want.append((a, b, p, p - q < language.AMBIGUOUS))
+        else:
+            want.append(("und", None, 0.0, True))
+    assert len(told) == len(want)
+    for got, made in zip(told, sorted(want, key=str), strict=True):
+        assert got[:2] == made[:2] and got[3] == made[3] and abs(got[2] - made[2]) < 1e-9
+
+
+def test_slices_of_many_short_rows():
+    import pyarrow as pa
+
+    from skeinspark.llm import _words
+
+    column = pa.array([None, "", *["a"] * 700, "b" * 3000, ""], pa.string())
+    got = [(lo, hi, data.tobytes()) for lo, hi, data, _ in _words.slices(column, 1000, 256)]
+    assert [lo for lo, *_ in got] + [len(column)] == [0] + [hi for _, hi, _ in got] and max(hi - lo for lo, hi, _ in got) == 256
+    assert b"".join(d for *_, d in got) == b"a" * 700 + b"b" * 3000
+
+
 def test_language_learns_every_language(spark):
     """140 languages of a word each, the rarest with the fewest rows; a small bound lowers the rows of each."""
     llm.ship(spark)
