@@ -113,8 +113,8 @@ def solved(a: np.ndarray, b: np.ndarray, block: int = 64) -> np.ndarray:
     return b
 
 
-#: Rows of the normal equations that are summed in one place.
-_STRIP = 64
+#: Rows of the normal equations that are summed in one place, and rows of the sample for each task that sums: its sums are 34 MB, however few its rows.
+_STRIP, _SUMMED = 64, 4096
 
 
 @settled
@@ -180,7 +180,7 @@ def fit_language(docs: DataFrame, folds: int = 5, each: int = PER_LANGUAGE, samp
         total = sum(np.frombuffer(b.as_py()) for b in t.column("sums"))
         return pa.table({"strip": t.column("strip")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    got = rows.mapInArrow(equations, "strip int, sums binary").groupBy("strip").applyInArrow(added, "strip int, sums binary").collect()
+    got = rows.coalesce(1 + total // _SUMMED).mapInArrow(equations, "strip int, sums binary").groupBy("strip").applyInArrow(added, "strip int, sums binary").collect()
     both = np.frombuffer(b"".join(r["sums"] for r in sorted(got, key=lambda r: r["strip"]))).reshape(BUCKETS + 1, -1)
     weights = solved(both[:, : BUCKETS + 1] + ridge * np.eye(BUCKETS + 1), both[:, BUCKETS + 1 :])
 
